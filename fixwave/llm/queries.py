@@ -31,5 +31,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_tokens(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_token_files)}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.pii import digest, find
+
+    return digest(find(documents(spark, sf_dir)))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.media import features, read_archives, write_archives
+
+    folder = Scratch(spark, "media").path("archives")
+    archives = write_archives(documents(spark, sf_dir), folder, width=192)
+    return features(read_archives(spark, folder, archives), width=192)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op5_pii, op6_token_files, op9_media)}
 ORACLE_SQL: dict[str, str] = {}
