@@ -31,6 +31,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_tokens(spark, path))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.quality import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixwave.llm.pii import digest, find
 
@@ -45,5 +51,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(read_archives(spark, folder, archives), width=192)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_pii, op6_token_files, op9_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_quality, op5_pii, op6_token_files, op9_media)}
 ORACLE_SQL: dict[str, str] = {}
