@@ -31,6 +31,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read_tokens(spark, path))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.repeats import digest, remove
+
+    return digest(remove(documents(spark, sf_dir), length=200))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixwave.llm.secrets import digest, find
 
@@ -57,5 +63,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(read_archives(spark, folder, archives), width=192)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_secrets, op4_quality, op5_pii, op6_token_files, op9_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op9_media)}
 ORACLE_SQL: dict[str, str] = {}
