@@ -55,6 +55,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(documents(spark, sf_dir)))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.jaccard import classes
+
+    return classes(documents(spark, sf_dir), percent=80, size=5)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixwave.llm.media import features, read_archives, write_archives
 
@@ -63,5 +69,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(read_archives(spark, folder, archives), width=192)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op9_media)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op9_media)}
 ORACLE_SQL: dict[str, str] = {}
