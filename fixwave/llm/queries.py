@@ -69,5 +69,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(read_archives(spark, folder, archives), width=192)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op9_media)}
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.leaks import find
+
+    return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op9_media, op10_leaks)}
 ORACLE_SQL: dict[str, str] = {}
