@@ -278,6 +278,18 @@ def classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     return own.join(names, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The documents, all columns as they were, less those linked to one of a lesser doc_id (of equal doc_ids, the lesser hash
+    of the text). Documents without words link with nothing and stay; rows equal in doc_id and text are one."""
+    key = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"))
+    found = classes(docs.select(key.alias("doc_id"), "text"), percent, size)
+    keep = found.select(F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("k")).distinct()
+    keep = keep.select(F.col("k.doc_id").alias("of"), F.col("k.mark").alias("mark"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].alias("of"), F.xxhash64(docs["text"]).alias("mark"))
+    kept = rows.join(keep, rows["of"].eqNullSafe(keep["of"]) & rows["mark"].eqNullSafe(keep["mark"]), "left_semi")
+    return kept.dropDuplicates(["of", "mark"]).select("d.*")
+
+
 def brute_force(texts: dict[int, str | None], percent: int = 80, size: int = 5) -> dict[int, tuple[int, int]]:
     """The same for a small table, straight from the definition; for tests."""
     import re

@@ -61,6 +61,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir), percent=80, size=5)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.chat import format_chats
+
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fixwave.llm.media import features, read_archives, write_archives
 
@@ -75,5 +81,5 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op9_media, op10_leaks)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op8_chat, op9_media, op10_leaks)}
 ORACLE_SQL: dict[str, str] = {}
