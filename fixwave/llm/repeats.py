@@ -7,8 +7,9 @@ under one q-gram are one row. Then buckets are refined, each step taking over wh
 
 1. runs whose q-gram bucket holds nothing else can't repeat and go;
 2. the rest are refined by the bucket of the whole run; runs that meet an equal run are repeated as a whole;
-3. only of buckets where runs differ, one run of each kind is opened into its windows, identified by their two q-gram
-   buckets; windows that meet an equal one are repeated.
+3. only of buckets where runs differ, one run of each kind is opened: first into blocks of windows, by the bucket of what a
+   block's windows share; then blocks that met another into windows, identified by their two q-gram buckets; windows that
+   meet an equal one are repeated.
 
 Bucket identifiers are 64-bit hashes; a decision rests on two of them. All groups are counted with partial aggregation and
 met by joins, so that no bucket is ever held by one task.
@@ -31,6 +32,7 @@ from fixwave.llm.common import Scratch, prepare, slices
 from fixwave.llm.rolling import Rolling, leftmost_minimum, mix
 
 SLICE = 2 << 20
+BLOCK = 16
 
 
 def _concatenated(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,37 +68,76 @@ def _runs(length: int, q: int):
             whole = mix(Rolling(data, 1).of(first, last + length) ^ mix(shape))
             owner = np.searchsorted(begin, first, side="right") - 1
             rows = pa.array(which[owner])
-            cols = [batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(grams[anchor].view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - begin[owner]).astype(np.int32)), pa.array((last - first).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "bucket", "run", "first", "more"])
+            cols = [batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(grams[anchor].view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - begin[owner]).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "bucket", "run", "first", "more", "lead"])
 
     return run
 
 
-def _windows(length: int, q: int):
-    """A mapInArrow function: the windows of chosen runs, each with the buckets of its q-grams at both offsets."""
+def _snippets(length: int):
+    """A mapInArrow function: the bytes that the windows of each chosen run cover."""
 
     def run(batches):
         for batch in slices(batches, size=SLICE):
-            data, which, begin, size = _concatenated(batch.column("text").to_pylist(), length)
-            if not len(which):
-                continue
-            lists = batch.column("runs").take(pa.array(which))
-            owner = np.repeat(np.arange(len(which)), lists.value_lengths().to_numpy())
+            lists = batch.column("runs")
             flat = lists.flatten()
-            first, more = flat.field("first").to_numpy(), flat.field("more").to_numpy()
-            open_, wide = flat.field("open").to_numpy(zero_copy_only=False), more.astype(np.int64) + 1
-            row = np.repeat(np.arange(len(first)), wide)
-            start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)
-            there = start + begin[owner[row]]
+            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            raw = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            cut = [raw[r][a : a + m + length] for r, a, m in zip(rows.tolist(), flat.field("first").to_pylist(), flat.field("more").to_pylist())]
+            at = pa.array(rows)
+            cols = [batch.column("doc_id").take(at), batch.column("mark").take(at), *[flat.field(c) for c in ("first", "more", "lead", "open")], pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "first", "more", "lead", "open", "snippet"])
+
+    return run
+
+
+def _opened(batch, length: int):
+    """The windows of a batch of snippets: the snippets' bytes, each window's row, place in them, place in its run, and block.
+
+    A block is BLOCK windows in a row, counted from the least q-gram, so that equal windows are in blocks of one number.
+    """
+    data = np.frombuffer(b"".join(batch.column("snippet").to_pylist()), np.uint8)
+    more, lead = (batch.column(c).to_numpy().astype(np.int64) for c in ("more", "lead"))
+    begin = np.cumsum(more + length) - more - length
+    row = np.repeat(np.arange(len(more)), more + 1)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    return data, begin, row, begin[row] + place, place, (lead[row] - place) // BLOCK
+
+
+def _cores(length: int):
+    """A mapInArrow function: the bucket of what all windows of a block share, for each block of each snippet."""
+
+    def run(batches):
+        for batch in slices(batches, "snippet", SLICE):
+            data, begin, row, _, _, block = _opened(batch, length)
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+            row, block = row[new], block[new]
+            at = begin[row] + batch.column("lead").to_numpy()[row] - BLOCK * block
+            key = mix(Rolling(data, 1).of(at, at + length - BLOCK + 1) ^ mix(block.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(block.astype(np.int32)), pa.array(key.view(np.int64))], names=["id", "block", "core"])
+
+    return run
+
+
+def _windows(length: int, q: int):
+    """A mapInArrow function: the windows of chosen blocks, each with the buckets of its q-grams at both offsets."""
+
+    def run(batches):
+        for batch in slices(batches, "snippet", SLICE):
+            data, _, row, at, place, block = _opened(batch, length)
+            lists = batch.column("blocks")
+            wanted = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) << 20 | lists.flatten().to_numpy()
+            fit = np.isin(row << 20 | block, wanted)
+            row, at, place = row[fit], at[fit], place[fit]
             roll = Rolling(data)
-            head, tail = roll.of(there, there + q), roll.of(there + length - q, there + length)
+            head, tail = roll.of(at, at + q), roll.of(at + length - q, at + length)
             if 2 * q < length:  # the q-grams leave a middle open
-                head = mix(head ^ Rolling(data, 1).of(there, there + length))
-            rows = pa.array(which[owner[row]])
-            for a in range(0, len(row), 1 << 18):
-                part = slice(a, a + (1 << 18))
-                cols = [batch.column("doc_id").take(rows[part]), batch.column("mark").take(rows[part]), pa.array(head[part].view(np.int64)), pa.array(tail[part].view(np.int64)), pa.array(start[part].astype(np.int32)), pa.array(open_[row[part]])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "head", "tail", "first", "open"])
+                head = mix(head ^ Rolling(data, 1).of(at, at + length))
+            rows = pa.array(row)
+            first = batch.column("first").to_numpy()[row] + place
+            cols = [batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(first.astype(np.int32)), batch.column("open").take(rows)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "head", "tail", "first", "open"])
 
     return run
 
@@ -104,35 +145,44 @@ def _windows(length: int, q: int):
 def repeated_spans(docs: DataFrame, length: int = 200, q: int = 100) -> DataFrame:
     """(doc_id, mark, spans): stretches of bytes that repeated strings cover, not yet merged; mark is a hash of the text."""
     prepare(docs.sparkSession)
-    if not 0 < q <= length:
-        raise ValueError("q is from 1 to length")
+    if not 0 < q <= length or length < BLOCK:
+        raise ValueError("q is from 1 to length, and length at least BLOCK")
     scratch = Scratch(docs.sparkSession, "repeats")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    runs = texts.mapInArrow(_runs(length, q), f"doc_id {kind}, mark long, bucket long, run long, first int, more int")
-    runs = scratch.save(runs, "runs", compression="lz4")
-    # 1: q-gram buckets of two runs or more, and whether their runs are all equal
-    buckets = runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high"))
-    buckets = buckets.where("n > 1").select("bucket", (F.col("low") == F.col("high")).alias("alike"))
-    shared = scratch.save(runs.join(buckets, "bucket"), "shared", compression="lz4")
-    scratch.drop("runs")
-    # 2: buckets of equal runs
-    mixed = shared.where("not alike")
-    kinds = mixed.groupBy("bucket", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "first", "more")).alias("r"))
-    kinds = scratch.save(kinds, "kinds", compression="lz4")
-    equal = mixed.join(kinds.where("n > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
-    whole = shared.where("alike").unionByName(equal).select("doc_id", "mark", "first", (F.col("first") + F.col("more") + length).alias("stop"))
-    # 3: one run of each kind, opened
-    chosen = kinds.select("r.*", (F.col("n") == 1).alias("open")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "more", "open")).alias("runs"))
-    opened = _met(texts, chosen, "inner").select("doc_id", "mark", "text", "runs")
-    windows = opened.mapInArrow(_windows(length, q), f"doc_id {kind}, mark long, head long, tail long, first int, open boolean")
-    windows = scratch.save(windows, "windows", compression="lz4")
+    # 1: q-gram buckets of two runs or more; runs are cheap to compute, so they are made twice rather than kept
+    runs = texts.mapInArrow(_runs(length, q), f"doc_id {kind}, mark long, bucket long, run long, first int, more int, lead int")
+    buckets = runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = scratch.save(runs.join(buckets, "bucket", "left_semi"), "shared")
+    # 2: of those, buckets whose runs are all equal, and equal runs in others
+    alike = shared.groupBy("bucket").agg(F.min("run").alias("low"), F.max("run").alias("high")).where("low = high").select("bucket")
+    mixed = scratch.save(shared.join(alike, "bucket", "left_anti"), "mixed")
+    kinds = mixed.groupBy("bucket", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "first", "more", "lead")).alias("r"))
+    kinds = scratch.save(kinds, "kinds")
+    stop = (F.col("first") + F.col("more") + length).alias("stop")
+    equal = mixed.join(kinds.where("n > 1").select("bucket", "run"), ["bucket", "run"], "left_semi").select("doc_id", "mark", "first", stop)
+    whole = scratch.save(shared.join(alike, "bucket", "left_semi").select("doc_id", "mark", "first", stop).unionByName(equal), "whole")
+    scratch.drop("shared")
+    scratch.drop("mixed")
+    # 3: one run of each kind, opened into blocks of windows, and those that share enough into windows
+    chosen = kinds.select("r.*", (F.col("n") == 1).alias("open")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "more", "lead", "open")).alias("runs"))
+    snippets = _met(texts, chosen, "inner").select("doc_id", "mark", "text", "runs")
+    snippets = snippets.mapInArrow(_snippets(length), f"doc_id {kind}, mark long, first int, more int, lead int, open boolean, snippet binary")
+    snippets = scratch.save(snippets.withColumn("id", F.xxhash64("doc_id", "mark", "first")), "snippets")
+    scratch.drop("kinds")
+    cores = scratch.save(snippets.mapInArrow(_cores(length), "id long, block int, core long"), "cores")
+    twice = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    blocks = cores.join(twice, "core", "left_semi").groupBy("id").agg(F.collect_set("block").alias("blocks"))
+    windows = snippets.join(blocks, "id").mapInArrow(_windows(length, q), f"doc_id {kind}, mark long, head long, tail long, first int, open boolean")
+    windows = scratch.save(windows, "windows")
+    scratch.drop("cores")
+    scratch.drop("snippets")
     twice = windows.groupBy("head", "tail").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("head", "tail")
     single = windows.where("open").join(twice, ["head", "tail"], "left_semi").select("doc_id", "mark", "first", (F.col("first") + length).alias("stop"))
     spans = whole.unionByName(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
-    spans = scratch.save(spans, "spans", compression="lz4")
-    for name in ("shared", "kinds", "windows"):
-        scratch.drop(name)
+    spans = scratch.save(spans, "spans")
+    scratch.drop("whole")
+    scratch.drop("windows")
     return spans
 
 
