@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from fixwave.plans import domain, relational, temporal  # noqa: F401  these fill the registry
+from fixwave.plans.registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "d_score"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
