@@ -9,14 +9,14 @@ from fixwave.operators import aggregates, filters, joins, scoring
 from fixwave.operators.joins import small
 from fixwave.plans.registry import query, table
 
-K = F.get_json_object("props", "$.k").cast("int")
 THRESHOLDS = [(5.0, 0), (10.0, 1), (25.0, 2), (40.0, 3)]
 
 
 @query("""SELECT event_id, user_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) > 80 OR value > 120 THEN -1 END AS score FROM events""")
 def f_param_filter(spark, sf):
     e = table(spark, sf, "events")
-    flag = scoring.parameter_flag(F.col("value"), K, F.lit(120.0), F.lit(80))
+    band10 = F.get_json_object("props", "$.k").cast("int")
+    flag = scoring.parameter_flag(F.col("value"), band10, F.lit(120.0), F.lit(80))
     return e.select("event_id", "user_id", F.when(flag, -1).alias("score"))
 
 
@@ -142,10 +142,10 @@ def j_combinations(spark, sf):
     return joins.combinations(table(spark, sf, "nation"), ["n_regionkey"], "n_nationkey", repeat=True)
 
 
-@query("""SELECT event_type, user_id % 10 AS deployment, round(avg(value), 3) AS avg_value, count(*) AS n, count_if(value > 50) AS n_good FROM events GROUP BY ALL""")
+@query("""SELECT event_type, user_id % 10 AS deployment, round(avg(value) + 1e-7, 3) AS avg_value, count(*) AS n, count_if(value > 50) AS n_good FROM events GROUP BY ALL""")
 def a_dashboard(spark, sf):
     e = table(spark, sf, "events").withColumn("deployment", F.col("user_id") % 10)
-    return e.groupBy("event_type", "deployment").agg(F.round(F.avg("value"), 3).alias("avg_value"), F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_good"))
+    return e.groupBy("event_type", "deployment").agg(F.round(F.avg("value") + 1e-7, 3).alias("avg_value"), F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_good"))
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 3) AS avg_l_quantity, round(avg(l_discount), 3) AS avg_l_discount FROM lineitem GROUP BY ALL""")
