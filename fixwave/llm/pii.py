@@ -46,7 +46,7 @@ CONTEXT = {
     "card": r"(?i)card|visa|master|amex|credit|karte|tarjeta|carte|pay",
     "phone": r"(?i)phone|call|tel\b|tel[:.]|fax|mobile|contact|ruf|llam|appel",
 }
-PLACEHOLDER = r"^[^0-9A-Za-z]*([0-9A-Za-z])(?:[^0-9A-Za-z]*\1)*[^0-9A-Za-z]*$|(?i)noreply|^(?:0+\.)+0+$"
+PLACEHOLDER = r"^[^0-9A-Za-z]*+([0-9A-Za-z])(?:[^0-9A-Za-z]*+\1)*+[^0-9A-Za-z]*+$|(?i)noreply|^(?:0++\.)++0++$"
 SHAPE = {
     "email": r"^[A-Za-z][A-Za-z0-9._%+-]{1,30}@",
     "ip": r"^(?:[1-9][0-9]{0,2}\.){3}[0-9]{1,3}$",

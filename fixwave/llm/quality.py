@@ -121,6 +121,8 @@ class Model:
         return np.clip(self.z(x) @ self.beta, 0, 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.beta.any():  # nothing to learn from
+            return np.full(len(x), 0.5)
         raw = self.raw(x)
         return np.clip(0.999 * np.interp(raw, *self.curve) + 0.001 * raw, 0, 1)  # the rest keeps the order within a level
 
