@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -88,7 +94,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, "1024")
 
 
-def slices(batches, column: str = "text", size: int = 4 << 20):
+def trim() -> None:
+    """Give memory that this worker has freed back to the system; workers are kept and would otherwise hold their peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def slices(batches, column: str = "text", size: int = 1 << 20):
     """Cut Arrow batches into runs of rows with about ``size`` bytes of the column (one row at least)."""
     for batch in batches:
         col = batch.column(column)
@@ -101,6 +114,7 @@ def slices(batches, column: str = "text", size: int = 4 << 20):
             end = max(at + 1, int(ends.searchsorted(before + size, side="right")))
             yield batch.slice(at, end - at)
             at = end
+            trim()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,8 @@ GROUPS = 256  # coordinates of a count vector; a count is a byte and stops at 25
 LEAF = 32
 CHUNK = 2048  # sets of a block that one task compares
 MAX_COMMON = 200_000  # elements put last in the order, at most; it is a fixed 1.6 MB
-SLICE = 2 << 20
+SLICE = 1 << 20
+BROADCAST_ROWS = 500_000  # ids of sets in blocks, 8 MB at most, that may be broadcast; beyond, texts are met by a shuffle
 
 
 def set_id(s: np.ndarray) -> int:
@@ -87,7 +88,7 @@ def common_elements(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             held += sets
             total += sum(map(len, sets))
-            if total > 4_000_000:
+            if total > 1_000_000:
                 yield counted()
                 held, total = [], 0
         if held:
@@ -118,20 +119,21 @@ def _prefixes(size: int, common, place, percent: int):
             parts = [prefix(s, common, place, percent) for s in ids.values()]
             if parts:
                 n = [len(p) for p in parts]
-                cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(list(ids), np.int64), n)), pa.array(np.repeat(np.array([len(s) for s in ids.values()], np.int32), n))]
-                yield pa.RecordBatch.from_arrays(cols, names=["element", "set_id", "n"])
+                cols = [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(list(ids), np.int64), n))]
+                yield pa.RecordBatch.from_arrays(cols, names=["element", "set_id"])
 
     return run
 
 
-def _vectors(size: int):
+def _values(size: int, of):
+    """A mapInArrow function: of each wanted set, the bytes of ``of`` (its count vector, or the elements themselves)."""
+
     def run(batches):
         for batch in slices(batches, size=SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
             own = [len(s) > 0 and set_id(s) == i for s, i in zip(sets, batch.column("set_id").to_pylist())]
             batch, sets = batch.filter(pa.array(own)), [s for s, x in zip(sets, own) if x]  # not another text of a repeated doc_id
-            cols = [batch.column("set_id"), pa.array([counts(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["set_id", "vector", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array([of(s).tobytes() for s in sets], pa.binary())], names=["set_id", "value"])
 
     return run
 
@@ -216,24 +218,22 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     docs = docs.select("doc_id", "text")
     sets = scratch.save(docs.mapInArrow(_identified(size, kind), f"doc_id {kind}, n_shingles long, set_id long"), "sets")
     common, place = common_elements(docs, size)
-    rows = docs.mapInArrow(_prefixes(size, common, place, percent), "element long, set_id long, n int")
-    rows = scratch.save(rows, "prefixes", compression="lz4")
-    blocks = rows.groupBy("element").agg(F.count("*").alias("many"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("element", "many")
-    rows = scratch.save(rows.join(blocks, "element").distinct(), "blocks", compression="lz4")
-    scratch.drop("prefixes")
+    # elements that two sets or more have in their prefixes; prefixes are cheap to compute, so they are made twice, not kept
+    rows = docs.mapInArrow(_prefixes(size, common, place, percent), "element long, set_id long")
+    shared = rows.groupBy("element").agg(F.count("*").alias("many")).where("many > 1").select("element")
+    rows = scratch.save(rows.join(shared, "element", "left_semi").distinct(), "shared", compression="lz4")
+    blocks = rows.groupBy("element").agg(F.count("*").alias("many")).where("many > 1")
+    rows = scratch.save(rows.join(blocks, "element"), "blocks", compression="lz4")
+    scratch.drop("shared")
     # vectors and elements of the sets that are in a block
-    met = rows.groupBy("set_id").agg(F.sum("many").alias("meets"), F.first("n").alias("n"))
-    met = scratch.save(met, "met")
-    one = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(met.select("set_id"), "set_id", "left_semi")
-    one = one.withColumnRenamed("doc_id", "of")
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["of"])).select("set_id", "text")
-    vectors = texts.mapInArrow(_vectors(size), "set_id long, vector binary, elements binary").dropDuplicates(["set_id"])
-    vectors = scratch.save(vectors, "vectors", compression="lz4")
+    one = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("of"), F.first("n_shingles").cast("int").alias("n"))
+    met = scratch.save(rows.groupBy("set_id").agg(F.sum("many").alias("meets")).join(one, "set_id"), "met")
+    vectors = scratch.save(_fetch(docs, met, size, counts).withColumnRenamed("value", "vector"), "vectors", compression="lz4")
     # each set with the leader of each of its blocks
     ranked = rows.join(met.select("set_id", "meets"), "set_id")
     leaders = ranked.groupBy("element").agg(F.max(F.struct("meets", "set_id")).alias("l")).select("element", F.col("l.set_id").alias("leader"))
     pairs = rows.join(leaders, "element").where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
-    near = scratch.save(_verify(pairs, met, vectors, percent), "near")
+    near = _verify(scratch, "near", docs, pairs, met, vectors, percent, size)
     # blocks that still hold different components
     roots = components(near)
     comp = met.join(roots, met["set_id"] == roots["node"], "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"))
@@ -242,31 +242,56 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     open_ = rows.groupBy("element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low <> high").select("element", "many")
     rows = scratch.save(rows.join(open_, "element"), "open", compression="lz4")
     more = _search(rows, vectors, near, percent)
-    rest = scratch.save(_verify(more, met, vectors, percent), "rest")
+    rest = _verify(scratch, "rest", docs, more, met, vectors, percent, size)
     return sets, near.unionByName(rest)
 
 
-def _verify(pairs: DataFrame, met: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link: first by size, then by summed minima, then by their elements."""
+def _fetch(docs: DataFrame, wanted: DataFrame, size: int, of) -> DataFrame:
+    """(set_id, value) of the wanted sets (set_id, of: a document that has it), computed from the texts again."""
+    wanted = wanted.select("set_id", F.col("of").alias("__of"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__of"])).select("set_id", "text")
+    return texts.mapInArrow(_values(size, of), "set_id long, value binary").dropDuplicates(["set_id"])
+
+
+def _verify(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, met: DataFrame, vectors: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs (a, b) that link: first by size, then by summed minima, then by their elements, fetched for those pairs alone."""
     n = met.select("set_id", "n")
     pairs = pairs.join(n.select(F.col("set_id").alias("a"), "n"), "a").join(n.select(F.col("set_id").alias("b"), F.col("n").alias("m")), "b")
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    v = vectors.select("set_id", "vector")
-    both = pairs.join(v.select(F.col("set_id").alias("a"), F.col("vector").alias("va")), "a").join(v.select(F.col("set_id").alias("b"), F.col("vector").alias("vb")), "b")
-    pairs = both.select("a", "b", "n", "m", "va", "vb").mapInArrow(_bounded(percent), "a long, b long")
-    e = vectors.select("set_id", "elements")
-    both = pairs.join(e.select(F.col("set_id").alias("a"), F.col("elements").alias("ea")), "a").join(e.select(F.col("set_id").alias("b"), F.col("elements").alias("eb")), "b")
-    return both.select("a", "b", "ea", "eb").mapInArrow(_verified(percent), "a long, b long")
+    both = pairs.join(vectors.select(F.col("set_id").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("set_id").alias("b"), F.col("vector").alias("vb")), "b")
+    pairs = scratch.save(both.select("a", "b", "n", "m", "va", "vb").mapInArrow(_bounded(percent), "a long, b long"), f"{name}-bounded")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    elements = scratch.save(_fetch(docs, met.join(wanted, "set_id", "left_semi"), size, _itself), f"{name}-elements", compression="lz4")
+    both = pairs.join(elements.select(F.col("set_id").alias("a"), F.col("value").alias("ea")), "a").join(elements.select(F.col("set_id").alias("b"), F.col("value").alias("eb")), "b")
+    found = scratch.save(both.select("a", "b", "ea", "eb").mapInArrow(_verified(percent), "a long, b long"), name)
+    scratch.drop(f"{name}-elements")
+    return found
+
+
+def _itself(s: np.ndarray) -> np.ndarray:
+    return s
 
 
 def _search(rows: DataFrame, vectors: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within blocks that their vectors allow. Large blocks are met chunk by chunk."""
+    """Pairs of different components within blocks that their sizes, and in trees their vectors, allow.
+
+    A block of one leaf (LEAF sets at most) needs no tree: its few pairs are bounded with all others in ``_verify``. Larger
+    blocks are searched by tree; those beyond CHUNK sets are met chunk by chunk.
+    """
+    one = rows.where(F.col("many") <= LEAF).select("element", "set_id", "n", "comp")
+    other = one.select("element", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    leaf = one.join(other, "element").where((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("other")) & fits).select(F.col("set_id").alias("a"), "b")
+    rows = rows.where(F.col("many") > LEAF)
     chunks = F.ceil(F.col("many") / CHUNK).cast("int")
     rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
     rows = rows.withColumn("cell", F.explode(cells)).select("element", "cell.i", "cell.j", "set_id", "n", "comp", F.col("chunk").alias("side"))
     rows = rows.join(vectors.select("set_id", "vector"), "set_id")
-    return rows.groupBy("element", "i", "j").applyInPandas(_searched(percent), "a long, b long").distinct()
+    tree = rows.groupBy("element", "i", "j").applyInPandas(_searched(percent), "a long, b long")
+    return leaf.unionByName(tree).distinct()
 
 
 def classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

@@ -29,7 +29,7 @@ from fixwave.llm.shingles import grams, words
 
 BLOCK_CHARS = 16 << 20  # items that a task holds at once
 WALKS, SAMPLED = 5, 3
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def edits(m: int, share: float) -> int:

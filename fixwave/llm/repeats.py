@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fixwave.llm.common import Scratch, prepare, slices
 from fixwave.llm.rolling import Rolling, leftmost_minimum, mix
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 BLOCK = 16
 
 

@@ -17,7 +17,7 @@ from fixwave.llm.common import slices
 FAST_BELOW = 0x250  # Latin blocks; letters, digits and spaces there are the same in all Unicode versions
 _OTHER, _LETTER, _DIGIT, _SPACE, _SLOW = range(5)
 _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
-_MAX_CACHED = 3_000_000  # pre-tokens a worker remembers (about 100 MB); beyond it the cache starts anew
+_MAX_CACHED = 1_500_000  # pre-tokens a worker remembers (about 60 MB); beyond it the cache starts anew
 
 
 def _classes() -> np.ndarray:
@@ -63,8 +63,8 @@ class Encoder:
         """Ids of all texts concatenated, and the number of ids of each; a null counts as empty."""
         texts = [t or "" for t in texts]
         groups, size = [[]], 0
-        for i, t in enumerate(texts):  # about two million characters at a time
-            if size > 2_000_000:
+        for i, t in enumerate(texts):  # about a million characters at a time
+            if size > 1_000_000:
                 groups.append([])
                 size = 0
             groups[-1].append(i)
