@@ -30,12 +30,13 @@ from fixwave.llm.graph import components
 from fixwave.llm.rolling import mix
 from fixwave.llm.shingles import shingle_sets
 
-GROUPS = 256  # coordinates of a count vector; a count is a byte and stops at 255, which the bound allows for
+GROUPS = 256  # coordinates of a count vector, at least; a count is a byte and stops at 255, which the bound allows for
+DENSE = 8  # elements for each coordinate, at most: of more, summed minima of unrelated sets come near the sets' size
 LEAF = 32
 CHUNK = 2048  # sets of a block that one task compares
 MAX_COMMON = 200_000  # elements put last in the order, at most; it is a fixed 1.6 MB
 SLICE = 1 << 20
-BROADCAST_ROWS = 500_000  # ids of sets in blocks, 8 MB at most, that may be broadcast; beyond, texts are met by a shuffle
+BROADCAST_ROWS = 500_000  # rows of two or three numbers, 12 MB at most, that may be broadcast; beyond, tables are met by a shuffle
 
 
 def set_id(s: np.ndarray) -> int:
@@ -57,8 +58,22 @@ def prefix(s: np.ndarray, common: np.ndarray, place: np.ndarray, percent: int) -
     return np.concatenate([rare, often[: keep - len(rare)]])
 
 
+def groups(n: int) -> int:
+    """Coordinates for a set of n elements: a power of two times GROUPS, so that vectors of unlike lengths can be folded to one."""
+    g = GROUPS
+    while g * DENSE < n:
+        g *= 2
+    return g
+
+
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 255).astype(np.uint8)
+    g = groups(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % g, minlength=g), 255).astype(np.uint8)
+
+
+def folded(v: np.ndarray, g: int) -> np.ndarray:
+    """The count vector over g groups, from one over a multiple of them."""
+    return v if len(v) == g else np.minimum(v.reshape(-1, g).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,9 +159,14 @@ def _bounded(percent: int):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
+                va, vb = ([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()] for c in ("va", "vb"))
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
-                good = bound(va, vb) >= needed(n, m, percent)
+                good = np.empty(batch.num_rows, bool)
+                size = np.array([min(len(x), len(y)) for x, y in zip(va, vb)])
+                for g in np.unique(size).tolist():
+                    rows = np.flatnonzero(size == g)
+                    x, y = (np.array([folded(v[i], g) for i in rows.tolist()]) for v in (va, vb))
+                    good[rows] = bound(x, y) >= needed(n[rows], m[rows], percent)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -196,7 +216,7 @@ def rtree_pairs(n: np.ndarray, comp: np.ndarray, vectors: np.ndarray, percent: i
 
 def _searched(percent: int):
     def run(key, pdf):
-        vectors = np.frombuffer(b"".join(pdf["vector"]), np.uint8).reshape(-1, GROUPS)
+        vectors = np.array([folded(np.frombuffer(v, np.uint8), GROUPS) for v in pdf["vector"]])
         half = pdf["side"].to_numpy() if key[1] != key[2] else None
         ids = pdf["set_id"].to_numpy()
         found = [*rtree_pairs(pdf["n"].to_numpy(np.int64), pdf["comp"].to_numpy(), vectors, percent, half)]
@@ -230,7 +250,7 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     met = scratch.save(rows.groupBy("set_id").agg(F.sum("many").alias("meets")).join(one, "set_id"), "met")
     vectors = scratch.save(_fetch(docs, met, size, counts).withColumnRenamed("value", "vector"), "vectors", compression="lz4")
     # each set with the leader of each of its blocks
-    ranked = rows.join(met.select("set_id", "meets"), "set_id")
+    ranked = rows.join(_small(met.select("set_id", "meets")), "set_id")
     leaders = ranked.groupBy("element").agg(F.max(F.struct("meets", "set_id")).alias("l")).select("element", F.col("l.set_id").alias("leader"))
     pairs = rows.join(leaders, "element").where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
     near = _verify(scratch, "near", docs, pairs, met, vectors, percent, size)
@@ -238,7 +258,7 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     roots = components(near)
     comp = met.join(roots, met["set_id"] == roots["node"], "left").select("set_id", "n", F.coalesce("root", "set_id").alias("comp"))
     comp = scratch.save(comp, "comp")
-    rows = rows.select("element", "set_id").join(comp, "set_id")
+    rows = rows.select("element", "set_id").join(_small(comp), "set_id")
     open_ = rows.groupBy("element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low <> high").select("element", "many")
     rows = scratch.save(rows.join(open_, "element"), "open", compression="lz4")
     more = _search(rows, vectors, near, percent)
@@ -246,18 +266,21 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     return sets, near.unionByName(rest)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int, of) -> DataFrame:
     """(set_id, value) of the wanted sets (set_id, of: a document that has it), computed from the texts again."""
-    wanted = wanted.select("set_id", F.col("of").alias("__of"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted.select("set_id", F.col("of").alias("__of")))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__of"])).select("set_id", "text")
     return texts.mapInArrow(_values(size, of), "set_id long, value binary").dropDuplicates(["set_id"])
 
 
 def _verify(scratch: Scratch, name: str, docs: DataFrame, pairs: DataFrame, met: DataFrame, vectors: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) that link: first by size, then by summed minima, then by their elements, fetched for those pairs alone."""
-    n = met.select("set_id", "n")
+    n = _small(met.select("set_id", "n"))
     pairs = pairs.join(n.select(F.col("set_id").alias("a"), "n"), "a").join(n.select(F.col("set_id").alias("b"), F.col("n").alias("m")), "b")
     pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     both = pairs.join(vectors.select(F.col("set_id").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("set_id").alias("b"), F.col("vector").alias("vb")), "b")

@@ -265,6 +265,19 @@ def test_summed_minima_bound_the_overlap():
         assert jaccard.bound(jaccard.counts(a)[None], jaccard.counts(b)[None])[0] >= len(np.intersect1d(a, b))
 
 
+def test_vectors_of_long_sets_fold_and_tell_them_apart():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 40_000, dtype=np.uint64))
+    rng.shuffle(pool)
+    for n in (1500, 2048, 2500, 9000, 16_384):
+        a, near, far = np.sort(pool[:n]), np.sort(pool[n // 12 : n + n // 5]), np.sort(pool[n : 2 * n])
+        for b in (near, far):
+            g = min(jaccard.groups(len(a)), jaccard.groups(len(b)))
+            most = jaccard.bound(*(jaccard.folded(jaccard.counts(s), g)[None] for s in (a, b)))[0]
+            assert most >= len(np.intersect1d(a, b))
+        assert most < jaccard.needed(n, n, 80), n
+
+
 def test_jaccard_on_awkward_rows(docs, empty):
     assert jaccard.classes(docs).count() == docs.count() and jaccard.classes(empty).count() == 0
     kept = jaccard.representatives(docs)
