@@ -1,23 +1,20 @@
-"""Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, and exact edit verification.
+"""Benchmark decontamination: seeds that no leak can lack, and exact edit verification of every seeded stretch.
 
 Distances are edits of words (a word with a typing error counts as one). An item of m words is held to be in a document if
 some stretch of it is within ``share`` * m edits. Such a stretch has at least one run of floor(m / (edits + 1)) words in
-common with the item, unchanged; windows of the item's size are laid where such a run would put it, and no others.
-Windows and items are embedded by the same random walks, which turn edits into substitutions; samples of embedded positions
-are their LSH keys, repeated until a pair at the bound meets with probability ``recall`` (two embedded positions there
-agree at least half the time). Pairs that meet in any key are verified by exact dynamic programming.
+common with the item, unchanged; regions are laid where such a run would put the item, and no others. Each is verified by
+exact dynamic programming, so nothing within the bound is missed. (LSH keys of CGK embeddings, which stood between the two,
+lost up to a quarter of stretches with words dropped at the bound.)
 
 The benchmark is the stated query set: it is held in blocks of bounded size, each run against all documents.
 
-Defined results: a null text has no leaks; items of fewer than ``min_words`` words, or null, are no evidence and not looked
-for; repeated items and repeated documents are each reported (one row for each document and item_id of its best stretch,
+Defined results: a null text has no leaks; items of fewer than ``min_words`` words must be there without edits; items without
+words, or null, are not looked for; repeated items and repeated documents are each reported (one row for each document and item_id of its best stretch,
 the first of equals); an empty table of either kind gives no rows; other columns are kept by ``clean``, ignored by ``find``.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,40 +25,11 @@ from fixwave.llm.rolling import mix
 from fixwave.llm.shingles import grams, words
 
 BLOCK_CHARS = 16 << 20  # items that a task holds at once
-WALKS, SAMPLED = 5, 3
 SLICE = 1 << 20
 
 
-def edits(m: int, share: float) -> int:
-    return int(share * m + 1e-9)
-
-
-def keys_needed(recall: float, agree: float = 0.5, sampled: int = SAMPLED) -> int:
-    """How often positions must be sampled for a pair that agrees in ``agree`` of them to meet with probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled))
-
-
-def lsh_keys(tokens: np.ndarray, recall: float) -> np.ndarray:
-    """Keys of equal-sized rows of word hashes: random walks of twice their size, sampled repeatedly."""
-    rows, m = tokens.shape
-    each = -(-keys_needed(recall) // WALKS)
-    padded = np.hstack([tokens, np.zeros((rows, 1), np.uint64)])
-    rng = np.random.default_rng(m)
-    salts = rng.integers(1, 2**63, (WALKS, 2 * m), dtype=np.uint64)
-    sampled = rng.integers(0, 2 * m, (WALKS, each, SAMPLED))
-    out = np.empty((rows, WALKS * each), np.uint64)
-    every = np.arange(rows)
-    for w in range(WALKS):
-        at, walk = np.zeros(rows, np.int64), np.empty((rows, 2 * m), np.uint64)
-        for j in range(2 * m):
-            walk[:, j] = padded[every, at]
-            at = np.minimum(at + (mix(walk[:, j] ^ salts[w, j]) & np.uint64(1)).astype(np.int64), m)
-        for k in range(each):
-            key = np.full(rows, w * each + k + 1, np.uint64)
-            for j in sampled[w, k]:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ walk[:, j])
-            out[:, w * each + k] = key
-    return out
+def edits(m: int, share: float, min_words: int) -> int:
+    return int(share * m + 1e-9) if m >= min_words else 0
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -77,92 +45,80 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of benchmark items: their words, the table of seeding runs, and LSH keys by size."""
+    """A block of benchmark items: their words, the edits they allow, and the table of seeding runs."""
 
-    def __init__(self, rows: list, share: float, recall: float, min_words: int):
-        self.share, self.recall = share, recall
+    def __init__(self, rows: list, share: float, min_words: int):
         rows = [(i, t) for i, t in rows if t is not None]
         word, owner, _, _ = words([t for _, t in rows])
         count = np.bincount(owner, minlength=len(rows)) if len(rows) else np.empty(0, int)
         parts = np.split(word, np.cumsum(count)[:-1]) if len(rows) else []
-        self.items = [(i, p) for (i, _), p in zip(rows, parts) if len(p) >= min_words]
+        self.items = [(i, p) for (i, _), p in zip(rows, parts) if len(p)]
+        self.size = np.array([len(p) for _, p in self.items], np.int64)
+        self.allowed = np.array([edits(len(p), share, min_words) for _, p in self.items], np.int64)
         seeds: dict[int, list] = {}
-        by_size: dict[int, list[int]] = {}
         for k, (_, p) in enumerate(self.items):
-            size = max(1, len(p) // (edits(len(p), share) + 1))
+            size = max(1, len(p) // (int(self.allowed[k]) + 1))
             key, at = grams(p, np.zeros(len(p), np.int64), size)
-            seeds.setdefault(size, []).append((key, at, np.full(len(key), len(p))))
-            by_size.setdefault(len(p), []).append(k)
+            seeds.setdefault(size, []).append((key, at, np.full(len(key), k)))
         self.seeds = {}
         for size, found in seeds.items():
-            key, at, m = (np.concatenate(x) for x in zip(*found))
-            _, first = np.unique(mix(key) ^ mix((at * 100_003 + m).astype(np.uint64)), return_index=True)  # equal seeds once
-            first = first[np.argsort(key[first], kind="stable")]
-            self.seeds[size] = (key[first], at[first], m[first])
-        self.keys = {}
-        for m, ks in by_size.items():
-            key = lsh_keys(np.array([self.items[k][1] for k in ks]), recall)
-            flat, item = key.ravel(), np.repeat(np.array(ks), key.shape[1])
-            order = np.argsort(flat, kind="stable")
-            self.keys[m] = (flat[order], item[order])
+            key, at, item = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(key, kind="stable")
+            self.seeds[size] = (key[order], at[order], item[order])
+
+    def regions(self, word: np.ndarray, owner: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """(text, item, first word, end): where seeds put items, widened by their edits; what overlaps is one region."""
+        for size, (seed, offset, items) in self.seeds.items():
+            key, at = grams(word, owner, size)
+            low, high = np.searchsorted(seed, key), np.searchsorted(seed, key, side="right")
+            hit = np.flatnonzero(high > low)
+            if not len(hit):
+                continue
+            n = (high - low)[hit]
+            which = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start, text, item = np.repeat(at[hit], n) - offset[which], np.repeat(owner[at[hit]], n), items[which]
+            a = np.maximum(start - self.allowed[item], first[text])
+            b = np.minimum(start + self.size[item] + self.allowed[item], last[text])
+            order = np.lexsort((a, item, text))
+            text, item, a, b = text[order], item[order], a[order], b[order]  # of one text and item, b rises with a
+            new = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0) | (a[1:] > b[:-1])])
+            yield from zip(text[new].tolist(), item[new].tolist(), a[new].tolist(), b[np.r_[new[1:] - 1, len(b) - 1]].tolist())
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, object, int, int, int]]:
-        """(index of the text, item_id, edits, bytes where the stretch's window begins and ends) of each leak."""
+        """(index of the text, item_id, edits, bytes where the stretch begins and ends) of each leak."""
         if not self.items:
             return []
         word, owner, begin, stop = words(texts)
         first = np.searchsorted(owner, np.arange(len(texts)))
         last = np.searchsorted(owner, np.arange(len(texts)), side="right")
-        windows: dict[int, list] = {}
-        for size, (seed, offset, sizes) in self.seeds.items():
-            key, at = grams(word, owner, size)
-            low, high = np.searchsorted(seed, key), np.searchsorted(seed, key, side="right")
-            hit = np.flatnonzero(high > low)
-            n = (high - low)[hit]
-            which = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(at[hit], n) - offset[which]
-            text = np.repeat(owner[at[hit]], n)
-            for m in np.unique(sizes[which]).tolist():
-                mine = sizes[which] == m
-                s = np.minimum(np.maximum(start[mine], first[text[mine]]), np.maximum(last[text[mine]] - m, first[text[mine]]))
-                windows.setdefault(m, []).append(s)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for m, found in windows.items():
-            start = np.unique(np.concatenate(found))
-            text = owner[start]
-            place = start[:, None] + np.arange(m)
-            inside = place < last[text][:, None]
-            tokens = np.where(inside, word[np.minimum(place, len(word) - 1)], np.uint64(0))
-            key = lsh_keys(tokens, self.recall)
-            flat, item = self.keys[m]
-            low, high = np.searchsorted(flat, key), np.searchsorted(flat, key, side="right")
-            row, col = np.nonzero(high > low)
-            pairs = {(r, k) for r, c in zip(row.tolist(), col.tolist()) for k in item[low[r, c] : high[r, c]].tolist()}
-            allowed = edits(m, self.share)
-            for r, k in sorted(pairs):
-                t, s = int(text[r]), int(start[r])
-                a, b = max(int(first[t]), s - allowed), min(int(last[t]), s + m + allowed)
-                d, end = best_stretch(self.items[k][1], word[a:b])
-                if d <= allowed and (d, a) < best.get((t, k), (m, 0, 0))[:2]:
-                    best[t, k] = (d, a, a + end)
+        for t, k, a, b in self.regions(word, owner, first, last):
+            item, m, allowed = self.items[k][1], int(self.size[k]), int(self.allowed[k])
+            known = best.get((t, k), (m + 1, 0, 0))[0]
+            if known == 0 or np.isin(item, word[a:b]).sum() < m - allowed:  # words that stay are in the region
+                continue
+            d, end = best_stretch(item, word[a:b])
+            if d <= allowed and d < known:
+                _, back = best_stretch(item[::-1], word[a : a + end][::-1])
+                best[t, k] = (d, a + end - back, a + end)
         return [(t, self.items[k][0], d, int(begin[a]), int(stop[max(a, e - 1)])) for (t, k), (d, a, e) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, share: float, recall: float, min_words: int):
+def blocks(benchmark: DataFrame, share: float, min_words: int):
     """The items, in blocks of about BLOCK_CHARS characters at most."""
     chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + 2 * chars // BLOCK_CHARS if chars > BLOCK_CHARS else 1
     for k in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-        yield Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), share, recall, min_words)
+        yield Items(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), share, min_words)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, min_words: int = 5) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, min_words: int = 5) -> DataFrame:
     """(doc_id, item_id, edits, start, stop): leaks of benchmark items; the stretch lies within these bytes of the text."""
     prepare(docs.sparkSession)
     kinds = [f.schema[c].dataType.simpleString() for f, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     out = None
-    for items in blocks(benchmark, share, recall, min_words):
+    for items in blocks(benchmark, share, min_words):
 
         def run(batches, items=items):
             for batch in slices(batches, size=SLICE):
@@ -176,11 +132,11 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: floa
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.99, min_words: int = 5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, min_words: int = 5) -> DataFrame:
     """The documents, all columns as they were, that hold no benchmark item."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
-    for items in blocks(benchmark, share, recall, min_words):
+    for items in blocks(benchmark, share, min_words):
 
         def run(batches, items=items):
             for batch in slices(batches, at, SLICE):
@@ -198,8 +154,8 @@ def brute_force(texts: list[str | None], items: list[tuple], share: float = 0.2,
     for t, text in enumerate(texts):
         for i, item in items:
             w, v = (words([x])[0] for x in (item, text))
-            if item is not None and len(w) >= min_words:
+            if item is not None and len(w):
                 d, _ = best_stretch(w, v)
-                if d <= edits(len(w), share):
+                if d <= edits(len(w), share, min_words):
                     out.add((t, i, d))
     return out

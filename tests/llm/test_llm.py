@@ -358,6 +358,23 @@ def test_leaks_reach_the_recall_and_are_exact(spark, docs, empty):
     assert leaks.clean(docs, bench).columns == docs.columns
 
 
+def test_leaks_at_the_bound_and_of_few_words(spark):
+    rng = random.Random(12)
+    items = [(k, prose((38, 50, 59)[k % 3], rng)) for k in range(90)] + [(200, "Quite rare"), (201, "never once said"), (202, "solitary"), (203, " ")]
+    texts = []
+    for k, t in items[:90]:
+        w = t.split()
+        for p in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
+            [lambda: w.pop(p), lambda: w.insert(p, "added"), lambda: w.__setitem__(p, "changed")][k // 3 % 3]()
+        texts.append(f"{prose(rng.randrange(40), rng)} {' '.join(w)} {prose(rng.randrange(40), rng)}")
+    texts += [prose(9, rng) + " quite\nrare " + prose(9, rng), "never once\tsaid", "never said once", "rare, quite", "solitary"]
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = leaks.find(df, bench).collect()
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in found}
+    assert got == leaks.brute_force(texts, items) and {(k, k) for k in range(90)} | {(90, 200), (91, 201), (94, 202)} <= {g[:2] for g in got}
+    assert [texts[90].encode()[r["start"] : r["stop"]] for r in found if r["item_id"] == 200] == [b"quite\nrare"]
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     items, texts = leaked()
     df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
