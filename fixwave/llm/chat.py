@@ -11,7 +11,7 @@ row to join with; roots and depths follow by pointer doubling. No conversation i
 
 Defined results: a null text is an empty one; a message that quotes nothing known is the root of a thread; messages with a
 null conv_id or turn link with nothing; repeated rows are kept, and messages of one conv_id and turn share what they reply
-to; passages of fewer than ``least`` normalised characters link nothing; an empty table gives an empty frame; other columns
+to; quotes of fewer than ``least`` normalised characters count only in messages with no longer one that links; an empty table gives an empty frame; other columns
 are ignored.
 """
 
@@ -67,7 +67,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.withColumn("content", content).withColumn("n_quotes", F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long"))
 
 
-def _units(rows: DataFrame, quoted: bool, least: int) -> DataFrame:
+def _units(rows: DataFrame, quoted: bool) -> DataFrame:
     """(conv_id, turn, level, hash, chars) of quoted passages and lines, or of own texts, paragraphs and lines."""
     mine = (lambda x: x["level"] > 0) if quoted else (lambda x: x["level"] == 0)
     runs = F.filter("runs", mine)
@@ -76,7 +76,7 @@ def _units(rows: DataFrame, quoted: bool, least: int) -> DataFrame:
     if not quoted:
         whole = F.array_join(F.transform(runs, lambda r: r["text"]), " ")
         units = F.concat(units, F.array(F.struct(F.lit(0).alias("level"), whole.alias("text"))))
-    units = F.array_distinct(F.filter(units, lambda u: F.length(u["text"]) >= least))
+    units = F.array_distinct(F.filter(units, lambda u: u["text"] != ""))
     out = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units).alias("u"))
     return out.select("conv_id", "turn", F.col("u.level").alias("level"), F.md5(F.col("u.text").cast("binary")).alias("hash"), F.length("u.text").alias("chars"))
 
@@ -84,12 +84,12 @@ def _units(rows: DataFrame, quoted: bool, least: int) -> DataFrame:
 def replies(rows: DataFrame, least: int = 12) -> DataFrame:
     """(conv_id, turn, reply_to) of messages that quote an earlier one."""
     quoting = rows.where("n_quotes > 0")
-    quotes = _units(quoting, True, least)
+    quotes = _units(quoting, True)
     talked = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-    origins = _units(talked, False, least).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    origins = _units(talked, False).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     linked = quotes.join(origins, ["conv_id", "hash"]).where("origin < turn").distinct()
-    votes = linked.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "origin")).alias("b"))
+    votes = linked.groupBy("conv_id", "turn", (F.col("chars") >= least).alias("long"), "level", "origin").agg(F.sum("chars").alias("chars"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("long", -F.col("level"), "chars", "origin")).alias("b"))
     return best.select("conv_id", "turn", F.col("b.origin").alias("reply_to"))
 
 

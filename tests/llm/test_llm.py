@@ -398,6 +398,16 @@ def test_chat(spark):
     assert len(got) == len(rows) and chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_links_short_quotes_where_no_longer_one_links(spark):
+    rows = [
+        (1, 0, "Shall we meet on Friday at noon?"), (1, 1, "Yes."), (1, 2, "> YES.\nGreat"), (1, 3, "> Shall we meet on Friday at noon?\n>> Yes.\nFine"),
+        (1, 4, "> Yes.\n> > Shall we meet on Friday at noon?\nBoth"), (1, 5, "> No.\nWhat?"), (1, 6, ">\n> \nblank"), (2, 0, "> Yes.\nother"), (2, 1, "> later\nx"), (2, 2, "later"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["root"]) for r in chat.format_chats(df).collect()}
+    assert got == {(1, 0): (None, 0), (1, 1): (None, 1), (1, 2): (1, 1), (1, 3): (0, 0), (1, 4): (0, 0), (1, 5): (None, 5), (1, 6): (None, 6), (2, 0): (None, 0), (2, 1): (None, 1), (2, 2): (None, 2)}
+
+
 def test_chat_runs_no_python(spark, sf, capsys):
     queries.QUERIES["op8_chat"](spark, sf).explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
