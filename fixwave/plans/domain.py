@@ -100,7 +100,7 @@ SELECT a.d AS deployment, a.id AS a, b.id AS b FROM e a JOIN e b ON a.d = b.d AN
 def d_feasible_edges(spark, sf):
     e, _ = _fixes(spark, sf)
     rows = e.where("id < 2000").withColumns({"family": F.lit("linear"), "burst": F.lit(0.01), "sustained": F.lit(0.004), "speed_limit": F.lit(0.001)})
-    return track.feasible_edges(rows, ["deployment"]).where("t_b - t_a < 90000").select("deployment", "a", "b")
+    return track.feasible_edges(rows, ["deployment"], 90_000).select("deployment", "a", "b")
 
 
 @query()

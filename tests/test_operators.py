@@ -140,6 +140,16 @@ def test_track_avoids_an_impossible_jump(spark):
     assert got == [0, 1, 2, 3, 4, 5]
 
 
+def test_edges_within_a_time_meet_in_its_buckets(spark, capsys):
+    rows = [(k % 2, k, 37.0 * k - 900, float(k % 7), float(k % 5), 1.0, "linear", 1.0, 0.5, 0.1) for k in range(90)]
+    points = spark.createDataFrame(rows, "deployment int, id long, t double, easting double, northing double, likelihood double, family string, burst double, sustained double, speed_limit double")
+    near, every = track.feasible_edges(points, ["deployment"], 370.0), track.feasible_edges(points, ["deployment"])
+    want = sorted(tuple(r) for r in every.where("t_b - t_a < 370").collect())
+    assert sorted(tuple(r) for r in near.collect()) == want and 90 < len(want) < every.count()
+    near.explain()
+    assert "[deployment#" in (join := capsys.readouterr().out.split("Join", 1)[1].split("\n")[0]) and join.count("__b#") == 2
+
+
 def test_critical_path_of_nothing_positive_is_empty():
     assert track.critical_path(np.arange(2), np.arange(2.0), np.array([-1.0, 0.0]), {1: [0]}) == []
 
