@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from fixwave.config import Detector, Positioning, Scoring, Tracking
+from fixwave.config import Detector, Positioning, Scoring
 from fixwave.functions import scalar
 from fixwave.operators import direction, position, scoring, track
 from fixwave.plans.registry import query, table
@@ -92,7 +92,7 @@ def _fixes(spark, sf):
 @query()
 def d_track(spark, sf):
     e, targets = _fixes(spark, sf)
-    return track.tracks(e, targets, Tracking(window=200, overlap=40))
+    return track.tracks(e, targets)
 
 
 @query("""WITH e AS (SELECT event_type AS d, event_id AS id, epoch_us(ts) / 1e6 AS t, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events WHERE event_id < 2000)

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fixwave.config import Detector, Positioning, Scoring
+from fixwave.config import Detector, Positioning, Scoring, Tracking
 from fixwave.functions import geo
 from fixwave.operators import aggregates, direction, features, filters, joins, position, scoring, track, windows
+from fixwave.plans import domain
 from fixwave.plans.domain import simulated
 from fixwave.sources import det, sinks, tables
 from fixwave.streaming import batches, detector
@@ -150,6 +151,13 @@ def test_edges_within_a_time_meet_in_its_buckets(spark, capsys):
     assert "[deployment#" in (join := capsys.readouterr().out.split("Join", 1)[1].split("\n")[0]) and join.count("__b#") == 2
 
 
+def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
+    domain.d_track(spark, sf)
+    assert seen == [Tracking()] and (seen[0].window, seen[0].overlap) == (500, 100)
+
+
 def test_critical_path_of_nothing_positive_is_empty():
     assert track.critical_path(np.arange(2), np.arange(2.0), np.array([-1.0, 0.0]), {1: [0]}) == []
 
