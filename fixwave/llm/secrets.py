@@ -2,13 +2,20 @@
 
 The base patterns label credentials in all texts. For each kind, a prefix tree of a bounded, documented sample of distinct
 labelled values is generalised by merging states whose futures are statistically compatible (Hoeffding bounds on stopping
-and on each symbol, checked down the tree); the merged states are a probabilistic automaton of the kind's format. All
-candidate tokens of all documents are then scored by their likelihood under each automaton against that of ordinary tokens,
-and those above the level that most labelled values reach are added as spans of kind ``format``. Base spans always stay.
+and on each symbol, checked down the tree); the merged states are a probabilistic automaton of the kind's format, and a
+further one is inferred in the same way from tokens outside base spans.
+
+Every token of every whole text is a candidate and is scored, those of base spans too: its log-likelihood under each kind's
+automaton less that under the automaton of ordinary tokens, plus the log of how many credentials of the kind there are to a
+token in all texts, is its log-odds of being a credential. The level of a kind is the log-likelihood for each character that
+all but the least likely twentieth of its labelled values reach; what a token lacks of it is taken off its odds. A token
+clear of base spans is added, as kind ``format``, where the odds favour a kind whose level it reaches. Base spans always stay.
+
+Learning, not scanning, is bounded: ``sample`` distinct values of each kind, of at most ``longest`` characters, by least hash.
 
 Defined results: a null text is an empty one and has no spans; repeated rows each get their result; of spans at one place
-the kind listed first comes first; an empty table, or one without labelled values, gets no added spans; positions are code
-points; other columns are ignored.
+the kind listed first comes first; an empty table, or one without labelled values, gets no added spans; where all tokens are
+credentials, ordinary ones are taken to be uniform; positions are code points; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +23,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +36,14 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 #: Shorter runs fail the length check and leave no other match in them, so the patterns ask for the length at once.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Tokens: dots only within, and padding only at the end.
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}")
 #: Alphabet of the automata: hexadecimal and other letters by case, digits, the rest.
 SYMBOLS = {c: s for s, cs in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/=", "-_.")) for c in cs}
-SIZES = (6, 20, 6, 20, 10, 3, 3)
-SPAN = "array<struct<kind:int,start:int,stop:int,value:string>>"
+WIDTH = 7
+UNIFORM = -math.log(WIDTH + 1)
+_CODES = np.array([SYMBOLS.get(chr(c), 0) for c in range(128)], np.uint8)
+SPAN = "array<struct<kind:int,start:int,stop:int,score:double>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -42,16 +54,6 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def candidate_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    """Tokens of 16 characters or more with letters and digits, clear of base spans."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        v = m[0]
-        if not v.isalpha() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
-            out.append((3, m.start(), m.end(), v))
-    return out
-
-
 class Automaton:
     """States with counts of stopping and of each symbol; built as a prefix tree, then merged."""
 
@@ -111,101 +113,193 @@ class Automaton:
                     self.go[p][s] = child
 
     def _merge(self) -> None:
-        red = [0]
-        while True:
-            blue = [(r, s, q) for r in red for s, q in sorted(self.go[r].items()) if q not in red]
-            if not blue:
-                break
-            r, s, q = max(blue, key=lambda b: (self.total[b[2]], -b[0], -b[1]))
-            into = next((p for p in red if self._compatible(p, q)), None)
-            if into is None:
-                red.append(q)
-            else:
-                self.go[r][s] = into
-                self._fold(into, q)
+        """Layer by layer from the root, each state is folded into the first compatible one of its layer.
+
+        States of different layers are never merged: a credential's length is part of its format, and counts of random
+        characters thin out so fast down a prefix tree that single branches would be compatible with anything.
+        """
+        kept, layer = [], [0]
+        while layer:
+            kept += layer
+            ahead: list[int] = []
+            into: dict[int, int] = {}
+            below = sorted({q for p in layer for q in self.go[p].values()}, key=lambda q: (-self.total[q], q))
+            for q in below:
+                r = next((r for r in ahead if self._compatible(r, q)), None)
+                if r is None:
+                    ahead.append(q)
+                else:
+                    into[q] = r
+                    self._fold(r, q)
+            for p in layer:
+                self.go[p] = {x: into.get(q, q) for x, q in self.go[p].items()}
+            layer = ahead
+        red = kept
         place = {q: i for i, q in enumerate(red)}
         self.go = [{s: place[t] for s, t in self.go[q].items()} for q in red]
         self.seen, self.stop, self.total = ([x[q] for q in red] for x in (self.seen, self.stop, self.total))
+        # as tables, with a last state for what has left the automaton: there all goes on evenly
+        n = len(red)
+        self.to = np.full((n + 1, WIDTH), n, np.int32)
+        self.cost = np.full((n + 1, WIDTH), UNIFORM)
+        self.ends = np.full(n + 1, UNIFORM)
+        for q in range(n):
+            whole = math.log(self.total[q] + 0.5 * (WIDTH + 1))
+            for x in range(WIDTH):
+                self.cost[q, x] = math.log(self.seen[q].get(x, 0) + 0.5) - whole
+                self.to[q, x] = self.go[q].get(x, n)
+            self.ends[q] = math.log(self.stop[q] + 0.5) - whole
+
+    def logliks(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, together: int = 64) -> np.ndarray:
+        """Log-probability of each stretch of ``codes``, stop included; all stretches take a step at once, long ones go on alone."""
+        order = np.argsort(-size, kind="stable")
+        at, out = np.zeros(len(size), np.int32), np.zeros(len(size))
+        ordered = size[order]
+        for k in range(min(together, int(ordered[0]) if len(ordered) else 0)):
+            now = order[: np.searchsorted(-ordered, -k)]
+            x = codes[start[now] + k]
+            out[now] += self.cost[at[now], x]
+            at[now] = self.to[at[now], x]
+        for i in order[: np.searchsorted(-ordered, -together)].tolist():
+            q, total, to, cost = int(at[i]), float(out[i]), self.to.tolist(), self.cost.tolist()
+            for x in codes[start[i] + together : start[i] + size[i]].tolist():
+                total += cost[q][x]
+                q = to[q][x]
+            at[i], out[i] = q, total
+        return out + self.ends[at]
 
     def loglik(self, value: str) -> float:
-        """Log-probability for each character, with add-half smoothing; a path that leaves the automaton costs its floor."""
-        at, out, floor = 0, 0.0, math.log(1e-4)
-        for c in value:
-            s = SYMBOLS[c]
-            if at is None or s not in self.go[at]:
-                out += floor
-                at = self.go[at].get(s) if at is not None else None
-                continue
-            out += math.log((self.seen[at][s] + 0.5) / (self.total[at] + 0.5 * (len(SIZES) + 1)))
-            at = self.go[at][s]
-        end = 1e-4 if at is None else (self.stop[at] + 0.5) / (self.total[at] + 0.5 * (len(SIZES) + 1))
-        return (out + math.log(end)) / len(value)
+        """Log-probability for each character."""
+        return float(self.logliks(*_coded([value]))[0]) / len(value)
+
+
+def _coded(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(v) for v in values], np.int64)
+    return _CODES[np.frombuffer("".join(values).encode("ascii"), np.uint8)], np.cumsum(size) - size, size
 
 
 class Formats:
-    """One automaton for each labelled kind, one of ordinary tokens, and the level a candidate has to reach."""
+    """One automaton for each labelled kind and one of ordinary tokens, the level that labelled values reach, and prior odds."""
 
-    def __init__(self, labelled: dict[int, list[str]], ordinary: list[str], margin: float = 0.1):
-        self.models = {k: Automaton(v) for k, v in labelled.items() if len(v) >= 10}
-        self.plain = Automaton(ordinary) if len(ordinary) >= 10 else None
-        self.margin = margin
+    def __init__(self, labelled: dict[int, list[str]], ordinary: list[str], counts: dict[int, int]):
+        self.models = {k: Automaton(v) for k, v in labelled.items() if v}
+        self.plain = Automaton(ordinary) if ordinary else None
         self.level = {k: sorted(m.loglik(v) for v in labelled[k])[len(labelled[k]) // 20] for k, m in self.models.items()}
-
-    def accepts(self, value: str) -> bool:
-        plain = self.plain.loglik(value) if self.plain else -math.inf
+        tokens = max(1, counts.get(3, 0))
+        self.prior = {k: math.log(max(1, counts.get(k, 0)) / tokens) for k in self.models}
+
+    def scores(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The probability that each value is a credential, and whether it is one by odds and level."""
+        chance, accepted = np.zeros(len(values)), np.zeros(len(values), bool)
+        if not self.models or not values:
+            return chance, accepted
+        coded = _coded(values)
+        size = coded[2]
+        plain = self.plain.logliks(*coded) if self.plain else (size + 1) * UNIFORM
         for k, m in self.models.items():
-            own = m.loglik(value)
-            if own >= self.level[k] and own >= plain + self.margin:
-                return True
-        return False
+            own = m.logliks(*coded)
+            short = np.minimum(0, own - self.level[k] * size)  # what is unlike the kind as well gets no credit for being unlike words
+            odds = own - plain + self.prior[k] + short
+            chance = np.maximum(chance, 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
+            accepted |= (odds > 0) & (short == 0)
+        return chance, accepted
+
+
+def clear_tokens(text: str, base: list) -> list[tuple[int, int, str]]:
+    """(start, end, value) of every token of a text that is clear of its base spans."""
+    out, k = [], 0
+    blocks: list[tuple[int, int]] = []  # base spans, merged
+    for _, s, e, _ in base:
+        if blocks and s <= blocks[-1][1]:
+            blocks[-1] = (blocks[-1][0], max(e, blocks[-1][1]))
+        else:
+            blocks.append((s, e))
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        while k < len(blocks) and blocks[k][1] <= s:
+            k += 1
+        if k == len(blocks) or blocks[k][0] >= e:
+            out.append((s, e, m[0]))
+    return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, candidates): spans of all whole texts."""
+def survey(docs: DataFrame, sample: int, longest: int) -> DataFrame:
+    """(kind, value, mark, n): of each run of rows, how many credentials of each kind and tokens (kind 3) it holds, and the
+    ``sample`` distinct values of each that have the least hash."""
     prepare(docs.sparkSession)
 
     def run(batches):
-        fields = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]
-        kind = pa.list_(pa.struct(fields))
-        names = [f[0] for f in fields]
         for batch in slices(batches):
-            base = [base_spans(t or "") for t in batch.column("text").to_pylist()]
-            more = [candidate_spans(t or "", b) for t, b in zip(batch.column("text").to_pylist(), base)]
-            cols = [pa.array([[dict(zip(names, s)) for s in spans] for spans in x], kind) for x in (base, more)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "base", "candidates"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN}, candidates {SPAN}")
-
-
-def infer(spans: DataFrame, sample: int = 400) -> Formats:
-    """Automata from at most ``sample`` distinct labelled values of each kind and of ordinary candidates, taken by their hash."""
-
-    def values(column: str, kind: int) -> list[str]:
-        s = spans.select(F.explode(column).alias("s")).where(F.col("s.kind") == kind).select(F.col("s.value").alias("v"))
-        s = s.where(F.col("v").rlike(r"^[A-Za-z0-9+/_.=-]{8,256}$")).distinct()
-        return [r["v"] for r in s.orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
-
-    return Formats({k: values("base", k) for k in range(3)}, values("candidates", 3))
-
-
-def find(docs: DataFrame, sample: int = 400) -> DataFrame:
-    """(doc_id, base, spans): base spans, and all spans, each in order of start and kind."""
-    spans = Scratch(docs.sparkSession, "secrets").save(scan(docs), "spans")
-    formats = infer(spans, sample)
+            found: list[set] = [set() for _ in KINDS]
+            n = [0] * len(KINDS)
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text or "")
+                for k, _, _, v in base:
+                    found[k].add(v)
+                    n[k] += 1
+                all_ = TOKEN.findall(text or "")
+                n[3] += len(all_)
+                found[3].update((v for *_, v in clear_tokens(text, base)) if base else all_)
+            rows = [(k, None, None, n[k]) for k in range(len(KINDS)) if n[k]]
+            for k, values in enumerate(found):
+                marks = sorted((xxhash.xxh64_intdigest(v) - (1 << 63), v) for v in values if len(v) <= longest)
+                rows += [(k, v, h, 0) for h, v in marks[:sample]]
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "value", "mark", "n"])
+
+    return docs.select("text").mapInArrow(run, "kind int, value string, mark long, n long")
+
+
+def infer(docs: DataFrame, sample: int = 400, longest: int = 4096) -> Formats:
+    """Automata from at most ``sample`` distinct values of each kind and of ordinary tokens; counts are those of all texts."""
+    scratch = Scratch(docs.sparkSession, "secrets")
+    rows = scratch.save(survey(docs, sample, longest), "survey")
+    counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+
+    def values(kind: int) -> list[str]:
+        some = rows.where((F.col("kind") == kind) & F.col("value").isNotNull()).select("mark", "value").distinct()
+        return [r["value"] for r in some.orderBy("mark", "value").limit(sample).collect()]
+
+    formats = Formats({k: values(k) for k in range(3)}, values(3), counts)
+    scratch.drop("survey")
+    return formats
+
+
+def find(docs: DataFrame, sample: int = 400, longest: int = 4096) -> DataFrame:
+    """(doc_id, base, spans, n_tokens, top_score): base spans, and all spans, each in order of start and kind and with its
+    score; how many tokens were scored; and the highest score of a token clear of base spans."""
+    formats = infer(docs, sample, longest)
+    names = ("kind", "start", "stop", "score")
 
     def run(batches):
-        for batch in batches:
-            base, more = batch.column("base"), batch.column("candidates").to_pylist()
-            full = [sorted([*b, *(c for c in m if formats.accepts(c["value"]))], key=lambda s: (s["start"], s["kind"])) for b, m in zip(base.to_pylist(), more)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), base, pa.array(full, base.type)], names=["doc_id", "base", "spans"])
-
-    return spans.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN}, spans {SPAN}")
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
+        for batch in slices(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            base = [base_spans(t) for t in texts]
+            all_ = [TOKEN.findall(t) for t in texts]
+            values = list(set().union(*all_, *({v for *_, v in spans} for spans in base)))
+            score, accepted = formats.scores(values)
+            chance, good = dict(zip(values, score.tolist())), {values[i] for i in np.flatnonzero(accepted).tolist()}
+            own, full, top = [], [], []
+            for text, spans, toks in zip(texts, base, all_):
+                scored = [(k, s, e, chance[v]) for k, s, e, v in spans]
+                clear = clear_tokens(text, spans) if spans or not good.isdisjoint(toks) else None
+                added = [(3, s, e, chance[v]) for s, e, v in clear or () if v in good]
+                own.append([dict(zip(names, x)) for x in scored])
+                full.append([dict(zip(names, x)) for x in sorted(scored + added, key=lambda x: (x[1], x[0]))])
+                top.append(max(map(chance.__getitem__, set(toks if clear is None else (v for *_, v in clear))), default=0.0))
+            cols = [pa.array(own, kind), pa.array(full, kind), pa.array([len(t) for t in all_], pa.int64()), pa.array(top, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "base", "spans", "n_tokens", "top_score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {SPAN}, spans {SPAN}, n_tokens long, top_score double")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, a hash of the base spans, and all spans as text."""
+    """Counts, a hash of the base spans, all spans as text, how many tokens were scored, how many were added and the scores."""
     kind = F.array(*map(F.lit, KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
-
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 6).cast("string")), ",").alias("scores")
+    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), "n_tokens", added, F.round("top_score", 6).alias("top_score"), scores)

@@ -157,7 +157,50 @@ def test_secrets(spark, empty):
 def test_automaton_prefers_its_own_format():
     rng = random.Random(2)
     a = secrets.Automaton(["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(200)])
-    assert len(a.go) < 60 and a.loglik("AKIA" + "Z9Y8X7W6V5U4T3S2") > a.loglik("thequickbrownfoxjumps") + 1
+    assert len(a.go) < 60 and a.loglik("AKIA" + "Z9Y8X7W6V5U4T3S2") > a.loglik("thequickbrownfoxjumps") + 0.5
+
+
+def plain_loglik(a, value):
+    """A walk through the automaton's dictionaries, one character at a time."""
+    at, out = 0, 0.0
+    for c in value:
+        x = secrets.SYMBOLS[c]
+        if at is None:
+            out += secrets.UNIFORM
+        else:
+            out += np.log((a.seen[at].get(x, 0) + 0.5) / (a.total[at] + 0.5 * (secrets.WIDTH + 1)))
+            at = a.go[at].get(x)
+    return out + (secrets.UNIFORM if at is None else np.log((a.stop[at] + 0.5) / (a.total[at] + 0.5 * (secrets.WIDTH + 1))))
+
+
+def test_formats_find_credentials_without_keywords(spark):
+    rng = random.Random(21)
+    key = lambda: "xk_" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789abcdefgh") for _ in range(30))
+    texts = [f'{prose(60, rng)} api_key = "{key()}" {prose(20, rng)}' for _ in range(80)] + [prose(200, rng) + " 2024-05-06 http://a-b.example/c_d.html?x=1 ===== v1.2.3 UPPER_CASE_NAME" for _ in range(80)]
+    planted = {len(texts) + k: key() for k in range(15)}
+    texts += [f"{prose(30, rng)} see {v}, {prose(30, rng)}" for v in planted.values()] + ["z" * 300_000, texts[-1], texts[-1]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = {r["doc_id"]: r for r in secrets.find(df).collect()}
+    formats = secrets.infer(df)
+    # every token, by a plain scorer
+    for d, text in enumerate(texts):
+        base = secrets.base_spans(text)
+        want = []
+        for m in secrets.TOKEN.finditer(text):
+            if not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+                own = {k: plain_loglik(a, m[0]) for k, a in formats.models.items()}
+                ordinary = plain_loglik(formats.plain, m[0])
+                if any(v - ordinary + formats.prior[k] > 0 and v >= formats.level[k] * len(m[0]) for k, v in own.items()):
+                    want.append((m.start(), m.end()))
+        assert [(s["start"], s["stop"]) for s in rows[d]["spans"] if s["kind"] == 3] == want
+        assert rows[d]["n_tokens"] == len(secrets.TOKEN.findall(text))
+    found = {d: [texts[d][s["start"] : s["stop"]] for s in r["spans"] if s["kind"] == 3] for d, r in rows.items()}
+    assert sum(found[d] == [v] for d, v in planted.items()) >= 13, [found[d] for d in planted]
+    assert not any(found[d] for d in range(160)) and not found[len(planted) + 160]
+    assert min(s["score"] for d in range(80) for s in rows[d]["base"]) > 0.5
+    assert found[len(texts) - 1] == found[len(texts) - 2]
+    bare = secrets.find(df.where("doc_id between 80 and 159")).collect()
+    assert len(bare) == 80 and not any(r["spans"] or r["top_score"] for r in bare)
 
 
 def personal_texts():
