@@ -84,6 +84,22 @@ def with_bases(df: DataFrame, part: str, amount: str, base: str) -> DataFrame:
     return df.join(F.broadcast(bases), part)
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, heavy: int = 20_000) -> DataFrame:
+    """Left join of rows with a table that has one row for each key of theirs, where a few keys may have most of the rows.
+
+    Keys with more than a ``heavy``-th of all rows, which are ``heavy`` keys at most, are met by a broadcast; the rest by a
+    shuffle that no key dominates. Rows without a key get nulls. ``rows`` are read several times: they should be a saved table.
+    """
+    many = rows.count() // heavy
+    often = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(many, 64)).select(key)
+    often = Scratch(rows.sparkSession, "lookup").save(often, "often")
+    hot = F.broadcast(often)
+    common = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    rest = rows.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(table.hint("merge"), key, "left")
+    none = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key])
+    return common.unionByName(rest).unionByName(none, allowMissingColumns=True)
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and have Spark send them Arrow batches of at most 1,024 rows, as texts can be long."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")

@@ -5,13 +5,17 @@ common order (prefix filtering); elements that recur much come last in that orde
 no block of its own. Within a block:
 
 - every set is first tried with one leader, the set that meets most others, and what links to it is merged;
-- only sets of blocks that then still hold two components are searched: the block's count vectors (elements hashed into
-  groups, one count for each group) are packed into an R-tree of leaves in order of size; a pair of leaves, then of sets, is
-  passed over where the summed minima of coordinates can't reach the overlap that the threshold asks for;
+- blocks that then still hold two components, of whatever size, are searched by R-tree (blocks of the same sets are one):
+  the sets' count vectors (elements hashed into groups, one count for each group) are packed by sort, tile and recursion (by
+  size, then by the count of half the groups) into leaves of FAN sets, leaves into nodes of FAN leaves, and so on to one root;
+  a box holds the greatest count of each group, the least and greatest size, and whether it is of one component. Pairs of
+  boxes are descended from the root with itself; a pair is passed over where the summed minima of coordinates can't reach the
+  overlap that the threshold asks for, where sizes differ too much, or where all is one component;
 - surviving pairs of different components are verified on the sets themselves.
 
-A link skipped this way is within a component already, so components lose nothing. Blocks too large for a task are cut into
-chunks, and chunk pairs are groups of their own.
+A link skipped this way is within a component already, so components lose nothing. Blocks of more than CHUNK sets are tiled by
+bands of size (links are within a band or from one to the next) and the bands cut into chunks; pairs of chunks are trees of
+their own. Tiles of many blocks are searched together, so that a task works on arrays whatever the sizes of its blocks.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; repeated rows share a
 set, hence a component; the component's name is its least doc_id (nulls come last); an empty table gives an empty frame;
@@ -25,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixwave.llm.common import Scratch, prepare, slices
+from fixwave.llm.common import Scratch, lookup, prepare, slices
 from fixwave.llm.graph import components
 from fixwave.llm.rolling import mix
 from fixwave.llm.shingles import shingle_sets
 
 GROUPS = 256  # coordinates of a count vector, at least; a count is a byte and stops at 255, which the bound allows for
 DENSE = 8  # elements for each coordinate, at most: of more, summed minima of unrelated sets come near the sets' size
-LEAF = 32
-CHUNK = 2048  # sets of a block that one task compares
+FAN = 4  # children of a node of the tree
+CHUNK = 2048  # sets of a block that one tree holds
+TILE = 8192  # rows of blocks that are searched together, about
+PAIRS = 8192  # pairs of boxes compared at once
 MAX_COMMON = 200_000  # elements put last in the order, at most; it is a fixed 1.6 MB
 SLICE = 1 << 20
-BROADCAST_ROWS = 500_000  # rows of two or three numbers, 12 MB at most, that may be broadcast; beyond, tables are met by a shuffle
+BROADCAST_ROWS = 50_000  # rows of two or three numbers, 1.2 MB at most, that may be broadcast; beyond, tables are met by a shuffle
 
 
 def set_id(s: np.ndarray) -> int:
@@ -187,50 +193,94 @@ def _verified(percent: int):
     return run
 
 
-def rtree_pairs(n: np.ndarray, comp: np.ndarray, vectors: np.ndarray, percent: int, half: np.ndarray | None = None):
-    """Index pairs of different components that the bounds allow; with ``half``, only pairs across its two values.
+class Forest:
+    """R-trees over the count vectors of many blocks, one tree for each block, built and descended level by level.
 
-    Leaves are filled in order of size; a leaf's box is its greatest counts and sizes.
+    ``side`` and ``across``: in blocks marked by ``across`` only sets of different sides are pairs.
     """
-    order = np.lexsort((comp, n))
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    top = np.array([vectors[x].max(axis=0) for x in leaves])
-    low, high = (np.array([f(n[x]) for x in leaves]) for f in (np.min, np.max))
-    for i, x in enumerate(leaves):
-        js = np.arange(i, len(leaves))
-        js = js[100 * high[i] >= percent * low[js]]
-        js = js[bound(np.broadcast_to(top[i], (len(js), GROUPS)), top[js]) >= needed(low[i], low[js], percent)]
-        for j in js.tolist():
-            p, q = np.repeat(x, len(leaves[j])), np.tile(leaves[j], len(x))
-            fit = comp[p] != comp[q]
-            if i == j:
-                fit &= p < q
-            if half is not None:
-                fit &= half[p] != half[q]
-            fit &= (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
-            p, q = p[fit], q[fit]
-            fit = bound(vectors[p], vectors[q]) >= needed(n[p], n[q], percent)
-            if fit.any():
-                yield p[fit], q[fit]
+
+    def __init__(self, block, n, comp, vectors, percent: int, side=None, across=None):
+        self.percent, self.visited = percent, 0
+        many = np.bincount(block)
+        # sort, tile, recurse: slabs in order of size, and within slabs the count of the first half of the groups
+        order = np.lexsort((comp, n, block))
+        place = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
+        leaves = -(-many // FAN)
+        slab = place // (FAN * np.maximum(1, np.ceil(leaves / np.ceil(np.sqrt(np.maximum(leaves, 1)))).astype(np.int64)))[block[order]]
+        half = vectors[:, : vectors.shape[1] // 2].sum(axis=1, dtype=np.int64)
+        order = order[np.lexsort((half[order], slab, block[order]))]
+        self.order = order
+        zero = np.zeros(len(block), np.int64)
+        side, across = (zero if x is None else np.asarray(x) for x in (side, across))
+        self.across = across[order].astype(bool)
+        n, comp, side = n[order], comp[order], side[order]
+        self.levels = [{"block": block[order], "top": vectors[order], "low": n, "high": n, "c0": comp, "c1": comp, "s0": side, "s1": side, "across": self.across}]
+        while len(self.levels) == 1 or len(self.levels[-1]["block"]) > len(np.unique(block)):
+            below = self.levels[-1]
+            of = below["block"]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            place = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
+            start = np.flatnonzero(place % FAN == 0)
+            level = {c: np.maximum.reduceat(below[c], start) for c in ("top", "high", "c1", "s1")} | {c: np.minimum.reduceat(below[c], start) for c in ("low", "c0", "s0")}
+            self.levels.append(level | {"block": of[start], "across": below["across"][start], "start": start, "size": np.diff(np.r_[start, len(of)])})
+
+    def _fits(self, level, i, j):
+        x = self.levels[level]
+        self.visited += len(i)
+        one = (x["c0"][i] == x["c1"][i]) & (x["c0"][j] == x["c1"][j]) & (x["c0"][i] == x["c0"][j])
+        alike = x["across"][i] & (x["s0"][i] == x["s1"][i]) & (x["s0"][j] == x["s1"][j]) & (x["s0"][i] == x["s0"][j])
+        near = (100 * x["high"][i] >= self.percent * x["low"][j]) & (100 * x["high"][j] >= self.percent * x["low"][i])
+        keep = np.flatnonzero(near & ~one & ~alike)
+        i, j = i[keep], j[keep]
+        good = bound(x["top"][i], x["top"][j]) >= needed(x["low"][i], x["low"][j], self.percent)
+        return i[good], j[good]
+
+    def pairs(self):
+        """Index pairs of sets of different components that the bounds allow, in pieces."""
+        roots = np.arange(len(self.levels[-1]["block"]))
+        todo = [(len(self.levels) - 1, roots[k : k + PAIRS], roots[k : k + PAIRS]) for k in range(0, len(roots), PAIRS)]
+        while todo:
+            level, i, j = todo.pop()
+            i, j = self._fits(level, i, j)
+            if level == 0:
+                if len(i):
+                    yield self.order[i], self.order[j]
+                continue
+            x = self.levels[level]
+            n, m = x["size"][i], x["size"][j]
+            at = np.repeat(np.arange(len(i)), n * m)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            p, q = x["start"][i][at] + k // m[at], x["start"][j][at] + k % m[at]
+            keep = p < q if level == 1 else p <= q
+            p, q = p[keep], q[keep]
+            todo += [(level - 1, p[k : k + PAIRS], q[k : k + PAIRS]) for k in range(0, len(p), PAIRS)]
 
 
 def _searched(percent: int):
-    def run(key, pdf):
-        vectors = np.array([folded(np.frombuffer(v, np.uint8), GROUPS) for v in pdf["vector"]])
-        half = pdf["side"].to_numpy() if key[1] != key[2] else None
-        ids = pdf["set_id"].to_numpy()
-        found = [*rtree_pairs(pdf["n"].to_numpy(np.int64), pdf["comp"].to_numpy(), vectors, percent, half)]
-        a = np.concatenate([ids[p] for p, _ in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([ids[q] for _, q in found]) if found else np.empty(0, np.int64)
+    """An applyInPandas function: the pairs that the trees of a tile's blocks find, and a row of how many pairs of boxes they met."""
+
+    def run(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        block = pdf.groupby(["element", "ib", "i", "jb", "j"], sort=False).ngroup().to_numpy(np.int64)
+        vectors = np.array([folded(np.frombuffer(v, np.uint8), GROUPS) for v in pdf["vector"]])
+        across = ((pdf["ib"] != pdf["jb"]) | (pdf["i"] != pdf["j"])).to_numpy()
+        forest = Forest(block, pdf["n"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), vectors, percent, pdf["side"].to_numpy(np.int64), across)
+        ids = pdf["set_id"].to_numpy(np.int64)
+        found = [(np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])) for p, q in forest.pairs()]
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        pairs = pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        count = pd.DataFrame({"a": [0], "b": [0], "visited": [forest.visited]})
+        return pd.concat([pairs.assign(visited=0), count], ignore_index=True).astype("int64")
 
     return run
 
 
-def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The documents' sets (doc_id, n_shingles, set_id), and links between different sets (a, b) that span all components."""
+def links(docs: DataFrame, percent: int = 80, size: int = 5, trace: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets (doc_id, n_shingles, set_id), and links between different sets (a, b) that span all components.
+
+    ``trace``, if given, is told how many ``rows`` of open blocks the trees indexed and how many pairs of boxes they ``visited``.
+    """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "jaccard")
@@ -261,14 +311,14 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5) -> tuple[DataFrame,
     rows = rows.select("element", "set_id").join(_small(comp), "set_id")
     open_ = rows.groupBy("element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low <> high").select("element", "many")
     rows = scratch.save(rows.join(open_, "element"), "open", compression="lz4")
-    more = _search(rows, vectors, near, percent)
+    more = _search(scratch, rows, vectors, percent, trace)
     rest = _verify(scratch, "rest", docs, more, met, vectors, percent, size)
     return sets, near.unionByName(rest)
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each)."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each), else to be met by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int, of) -> DataFrame:
@@ -297,33 +347,50 @@ def _itself(s: np.ndarray) -> np.ndarray:
     return s
 
 
-def _search(rows: DataFrame, vectors: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within blocks that their sizes, and in trees their vectors, allow.
-
-    A block of one leaf (LEAF sets at most) needs no tree: its few pairs are bounded with all others in ``_verify``. Larger
-    blocks are searched by tree; those beyond CHUNK sets are met chunk by chunk.
-    """
-    one = rows.where(F.col("many") <= LEAF).select("element", "set_id", "n", "comp")
-    other = one.select("element", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    leaf = one.join(other, "element").where((F.col("set_id") < F.col("b")) & (F.col("comp") != F.col("other")) & fits).select(F.col("set_id").alias("a"), "b")
-    rows = rows.where(F.col("many") > LEAF)
-    chunks = F.ceil(F.col("many") / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    rows = rows.withColumn("cell", F.explode(cells)).select("element", "cell.i", "cell.j", "set_id", "n", "comp", F.col("chunk").alias("side"))
-    rows = rows.join(vectors.select("set_id", "vector"), "set_id")
-    tree = rows.groupBy("element", "i", "j").applyInPandas(_searched(percent), "a long, b long")
-    return leaf.unionByName(tree).distinct()
+def _search(scratch: Scratch, rows: DataFrame, vectors: DataFrame, percent: int, trace: dict | None) -> DataFrame:
+    """Pairs of different components within open blocks that the trees over their count vectors allow."""
+    marks = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    distinct = rows.groupBy("element", "many").agg(*marks).groupBy("m1", "m2", "many").agg(F.min("element").alias("element"))
+    rows = rows.join(distinct.select("element"), "element", "left_semi")
+    whole = rows.where(F.col("many") <= CHUNK).select("element", *[F.lit(0).alias(c) for c in ("ib", "i", "jb", "j")], "set_id", "n", "comp", F.lit(0).cast("long").alias("side"))
+    # larger blocks: bands of size, each a little wider than the threshold's ratio, and chunks of bands
+    wide = F.floor(F.log(F.col("n")) / F.lit(1.001 * float(np.log(100 / percent)) if percent < 100 else 1.0)).cast("int")
+    large = rows.where(F.col("many") > CHUNK).withColumn("band", wide)
+    chunks = large.groupBy("element", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    beside = lambda d, name: chunks.select("element", (F.col("band") + d).alias("band"), F.col("chunks").alias(name))
+    large = large.join(chunks, ["element", "band"]).join(beside(-1, "above"), ["element", "band"], "left").join(beside(1, "below"), ["element", "band"], "left")
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+    cell = lambda ib, i, jb, j: F.struct(ib.alias("ib"), i.alias("i"), jb.alias("jb"), j.alias("j"))
+    band, chunk = F.col("band"), F.col("chunk")
+    upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cells = F.concat(
+        F.transform(upto(F.col("chunks")), lambda k: cell(band, F.least(chunk, k), band, F.greatest(chunk, k))),
+        F.transform(upto(F.col("above")), lambda k: cell(band, chunk, band + 1, k)),
+        F.transform(upto(F.col("below")), lambda k: cell(band - 1, k, band, chunk)),
+    )
+    side = (band.cast("long") * 1_000_000 + chunk).alias("side")
+    large = large.select("element", F.explode(cells).alias("c"), "set_id", "n", "comp", side).select("element", "c.*", "set_id", "n", "comp", "side")
+    cells = scratch.save(whole.unionByName(large), "cells", compression="lz4")
+    total = cells.count()
+    tile = F.pmod(F.xxhash64("element", "ib", "i", "jb", "j"), F.lit(-(-total // TILE) or 1)).alias("tile")
+    found = cells.join(vectors.select("set_id", "vector"), "set_id").select(tile, *cells.columns, "vector").groupBy("tile").applyInPandas(_searched(percent), "a long, b long, visited long")
+    found = scratch.save(found, "found")
+    if trace is not None:
+        trace |= {"rows": total, "visited": found.agg(F.coalesce(F.sum("visited"), F.lit(0))).first()[0]}
+    return found.where("visited = 0").select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
+    scratch = Scratch(docs.sparkSession, "classes")
     sets, edges = links(docs, percent, size)
+    one = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     roots = components(edges)
-    own = sets.join(roots, sets["set_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "set_id").alias("c"))
-    names = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return own.join(names, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    one = scratch.save(one.join(roots, one["set_id"] == roots["node"], "left").select("set_id", "least", F.coalesce("root", "set_id").alias("c")), "roots")
+    names = scratch.save(one.groupBy("c").agg(F.min("least").alias("component_id")), "names")
+    named = scratch.save(lookup(one.select("set_id", "c"), names, "c").select("set_id", "component_id"), "named")
+    out = lookup(sets, named, "set_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

@@ -291,15 +291,45 @@ def test_jaccard_equals_brute_force(spark, percent):
     assert got == jaccard.brute_force(texts, percent)
 
 
-def test_jaccard_trees_and_chunks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 2)
-    monkeypatch.setattr(jaccard, "CHUNK", 5)
+@pytest.mark.parametrize("fan,chunk,tile", [(2, 5, 50), (4, 2048, 9)])
+def test_jaccard_trees_chunks_and_tiles_lose_nothing(spark, monkeypatch, fan, chunk, tile):
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "TILE", tile)
     texts = dict(enumerate(near_texts()))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df, 60).collect()}
     assert got == jaccard.brute_force(texts, 60)
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_forest_finds_every_pair_of_other_components(percent):
+    rng = np.random.default_rng(percent)
+    pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    sets, block = [], []
+    for k in range(220):
+        some = rng.choice(pool, int(rng.integers(6, 120)))
+        sets.append(np.unique(some if k % 3 or not sets else np.concatenate([sets[-1], some[:3]])))
+        block.append(min(int(rng.integers(0, 12)) ** 2 // 20, 5))
+    n, block, comp = np.array([len(x) for x in sets]), np.array(block), rng.integers(0, 150, 220)
+    vectors = np.array([jaccard.counts(x) for x in sets])
+    side = rng.integers(0, 2, 220)
+    for across in (np.zeros(220, bool), block % 2 == 0):
+        forest = jaccard.Forest(block, n, comp, vectors, percent, side, across)
+        got = {(min(p, q), max(p, q)) for ps, qs in forest.pairs() for p, q in zip(ps.tolist(), qs.tolist())}
+        every = [(i, j) for i in range(220) for j in range(i + 1, 220) if block[i] == block[j] and comp[i] != comp[j] and not (across[i] and side[i] == side[j])]
+        similar = {(i, j) for i, j in every if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert similar <= got <= set(every) and len(similar) > 8 and len(forest.levels) >= 4
+        assert forest.visited < 4 * len(every)
+
+
+def test_trees_are_descended_on_documents(spark):
+    trace = {}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard.links(docs, trace=trace)
+    assert trace["visited"] > trace["rows"] / 4 > 0, trace
+
+
 def test_summed_minima_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
