@@ -1,18 +1,20 @@
-"""Exact repeats: remove every byte that a repeated string of a fixed length covers, by refining buckets of q-grams.
+"""Exact repeats: remove every byte that a repeated string of a fixed length covers, by bucket-pointer refinement.
 
-A string of ``length`` bytes is identified by the bucket of its first q-gram and the bucket of the q-gram at the later offset
-that completes it, as in suffix sorting by bucket pointers. To keep only positions that can matter, every window of
-``length`` bytes is filed under its least q-gram (so equal windows are filed together), and runs of neighbouring windows
-under one q-gram are one row. Then buckets are refined, each step taking over what the last one settled:
+Every window of ``length`` bytes is first filed in the bucket of its least q-gram, so equal windows are in one bucket; the
+windows in a row that have one least q-gram are a run, a row of up to length - q + 1 windows. A bucket's identifier is then
+refined step by step, as a suffix sort refines buckets by the buckets that its pointers lead to at later offsets:
 
-1. runs whose q-gram bucket holds nothing else can't repeat and go;
-2. the rest are refined by the bucket of the whole run; runs that meet an equal run are repeated as a whole;
-3. only of buckets where runs differ, one run of each kind is opened: first into blocks of windows, by the bucket of what a
-   block's windows share; then blocks that met another into windows, identified by their two q-gram buckets; windows that
-   meet an equal one are repeated.
+- a block of neighbouring windows has the identifier of what all its windows share (of a run, that is its least q-gram);
+- a step cuts blocks into blocks of a fraction of the windows (WIDTHS), which share more bytes: each takes the identifier of
+  the block it was cut from, updated with those of the bytes at the offsets before and after that it shares besides;
+- blocks are sorted into buckets by the identifiers of this step. A block alone in its bucket can't repeat and goes; a bucket
+  whose blocks are equal as a whole is settled, and all their windows are repeated; of other buckets blocks that equal another
+  as a whole are settled too, and one of each kind is kept for the others to meet; buckets that hold only such are done;
+- what is left goes on to the next step with the identifiers of this one, down to single windows.
 
-Bucket identifiers are 64-bit hashes; a decision rests on two of them. All groups are counted with partial aggregation and
-met by joins, so that no bucket is ever held by one task.
+Identifiers are 64-bit hashes, built from those of the step before; what is called equal agrees in two of them (bucket and
+whole block), so that about 2^-128 of unlike pairs would be taken for equal. All buckets are counted with partial aggregation
+and met by joins, so that none is ever held by one task.
 
 Defined results: a null text is an empty one; a text shorter than ``length`` keeps all its bytes; matches don't cross
 documents, and copies within one document, overlapping or not, count; repeated rows are copies of each other; rows with null
@@ -32,7 +34,7 @@ from fixwave.llm.common import Scratch, prepare, slices
 from fixwave.llm.rolling import Rolling, leftmost_minimum, mix
 
 SLICE = 1 << 20
-BLOCK = 16
+WIDTHS = (16, 4, 1)  # windows in a block, step by step; each divides the one before
 
 
 def _concatenated(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,59 +87,58 @@ def _snippets(length: int):
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             cut = [raw[r][a : a + m + length] for r, a, m in zip(rows.tolist(), flat.field("first").to_pylist(), flat.field("more").to_pylist())]
             at = pa.array(rows)
-            cols = [batch.column("doc_id").take(at), batch.column("mark").take(at), *[flat.field(c) for c in ("first", "more", "lead", "open")], pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "first", "more", "lead", "open", "snippet"])
+            cols = [batch.column("doc_id").take(at), batch.column("mark").take(at), *[flat.field(c) for c in ("first", "more", "lead", "open", "bucket")], pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "first", "more", "lead", "open", "bucket", "snippet"])
 
     return run
 
 
-def _opened(batch, length: int):
-    """The windows of a batch of snippets: the snippets' bytes, each window's row, place in them, place in its run, and block.
+def _refined(length: int, q: int, before: int, width: int):
+    """A mapInArrow function: the blocks of ``width`` windows within chosen blocks of ``before`` windows (0: whole runs), with
+    their refined identifiers.
 
-    A block is BLOCK windows in a row, counted from the least q-gram, so that equal windows are in blocks of one number.
+    Blocks are counted from the window that begins with the run's least q-gram, backwards, so that equal windows are in blocks
+    of one number; block b of w windows holds the windows that begin up to w - 1 bytes before ``lead`` - w * b. Those of them
+    that the run has not are left out of the block, but not of what it shares.
     """
-    data = np.frombuffer(b"".join(batch.column("snippet").to_pylist()), np.uint8)
-    more, lead = (batch.column(c).to_numpy().astype(np.int64) for c in ("more", "lead"))
-    begin = np.cumsum(more + length) - more - length
-    row = np.repeat(np.arange(len(more)), more + 1)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-    return data, begin, row, begin[row] + place, place, (lead[row] - place) // BLOCK
-
-
-def _cores(length: int):
-    """A mapInArrow function: the bucket of what all windows of a block share, for each block of each snippet."""
-
-    def run(batches):
-        for batch in slices(batches, "snippet", SLICE):
-            data, begin, row, _, _, block = _opened(batch, length)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
-            row, block = row[new], block[new]
-            at = begin[row] + batch.column("lead").to_numpy()[row] - BLOCK * block
-            key = mix(Rolling(data, 1).of(at, at + length - BLOCK + 1) ^ mix(block.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(block.astype(np.int32)), pa.array(key.view(np.int64))], names=["id", "block", "core"])
-
-    return run
-
-
-def _windows(length: int, q: int):
-    """A mapInArrow function: the windows of chosen blocks, each with the buckets of its q-grams at both offsets."""
 
     def run(batches):
         for batch in slices(batches, "snippet", SLICE):
-            data, _, row, at, place, block = _opened(batch, length)
+            data = np.frombuffer(b"".join(batch.column("snippet").to_pylist()), np.uint8)
+            more, lead = (batch.column(c).to_numpy().astype(np.int64) for c in ("more", "lead"))
+            begin = np.cumsum(more + length) - more - length
             lists = batch.column("blocks")
-            wanted = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) << 20 | lists.flatten().to_numpy()
-            fit = np.isin(row << 20 | block, wanted)
-            row, at, place = row[fit], at[fit], place[fit]
-            roll = Rolling(data)
-            head, tail = roll.of(at, at + q), roll.of(at + length - q, at + length)
-            if 2 * q < length:  # the q-grams leave a middle open
-                head = mix(head ^ Rolling(data, 1).of(at, at + length))
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            block, bucket, unseen = flat.field("block").to_numpy().astype(np.int64), flat.field("bucket").to_numpy().view(np.uint64), flat.field("open").to_numpy(zero_copy_only=False)
+            if before:
+                shared = lead[row] - before * block, lead[row] - before * block - before + 1 + length  # what the block's windows share
+                shared = shared[0], np.maximum(shared[1], shared[0])
+                parts = before // width
+                low, high = block * parts, block * parts + parts - 1
+            else:
+                shared = lead[row], lead[row] + q
+                low, high = -((more - lead)[row] // width) - ((more - lead)[row] % width > 0), lead[row] // width
+            n = high - low + 1
+            at = np.repeat(np.arange(len(row)), n)
+            number = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            row, bucket, unseen, old = row[at], bucket[at], unseen[at], (shared[0][at], shared[1][at])
+            stop = lead[row] - width * number  # the last window of the block, nominally
+            first, last = np.maximum(stop - width + 1, 0), np.minimum(stop, more[row])
+            keep = first <= last
+            row, number, bucket, unseen, stop, first, last = (x[keep] for x in (row, number, bucket, unseen, stop, first, last))
+            old = old[0][keep], old[1][keep]
+            new = stop, stop - width + 1 + length
+            roll, where = Rolling(data, 1), begin[row]
+            left = roll.of(where + np.minimum(new[0], old[0]), where + old[0])
+            right = roll.of(where + old[1], where + np.maximum(new[1], old[1]))
+            bucket = mix(mix(mix(bucket ^ left) + right) + number.astype(np.uint64))
+            whole = mix(roll.of(where + first, where + last + length) ^ mix((stop - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)))
             rows = pa.array(row)
-            first = batch.column("first").to_numpy()[row] + place
-            cols = [batch.column("doc_id").take(rows), batch.column("mark").take(rows), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(first.astype(np.int32)), batch.column("open").take(rows)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "mark", "head", "tail", "first", "open"])
+            cols = [batch.column("id").take(rows), pa.array(number.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(unseen, pa.bool_())]
+            places = batch.column("first").to_numpy()[row]
+            cols += [pa.array((places + first).astype(np.int32)), pa.array((places + last + length).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "block", "bucket", "whole", "open", "first", "stop"])
 
     return run
 
@@ -145,8 +146,8 @@ def _windows(length: int, q: int):
 def repeated_spans(docs: DataFrame, length: int = 200, q: int = 100) -> DataFrame:
     """(doc_id, mark, spans): stretches of bytes that repeated strings cover, not yet merged; mark is a hash of the text."""
     prepare(docs.sparkSession)
-    if not 0 < q <= length or length < BLOCK:
-        raise ValueError("q is from 1 to length, and length at least BLOCK")
+    if not 0 < q <= length or length < WIDTHS[0]:
+        raise ValueError("q is from 1 to length, and length at least the widest block")
     scratch = Scratch(docs.sparkSession, "repeats")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -164,28 +165,53 @@ def repeated_spans(docs: DataFrame, length: int = 200, q: int = 100) -> DataFram
     whole = scratch.save(shared.join(alike, "bucket", "left_semi").select("doc_id", "mark", "first", stop).unionByName(equal), "whole")
     scratch.drop("shared")
     scratch.drop("mixed")
-    # 3: one run of each kind, opened into blocks of windows, and those that share enough into windows
-    chosen = kinds.select("r.*", (F.col("n") == 1).alias("open")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "more", "lead", "open")).alias("runs"))
+    # 3: one run of each kind goes on, as bytes; repeated rows of the table give the same snippets, which count once
+    chosen = kinds.select("r.*", "bucket", (F.col("n") == 1).alias("open")).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "more", "lead", "open", "bucket")).alias("runs"))
     snippets = _met(texts, chosen, "inner").select("doc_id", "mark", "text", "runs")
-    snippets = snippets.mapInArrow(_snippets(length), f"doc_id {kind}, mark long, first int, more int, lead int, open boolean, snippet binary")
+    snippets = snippets.mapInArrow(_snippets(length), f"doc_id {kind}, mark long, first int, more int, lead int, open boolean, bucket long, snippet binary")
     snippets = scratch.save(snippets.withColumn("id", F.xxhash64("doc_id", "mark", "first")), "snippets")
     scratch.drop("kinds")
-    cores = scratch.save(snippets.mapInArrow(_cores(length), "id long, block int, core long"), "cores")
-    twice = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    blocks = cores.join(twice, "core", "left_semi").groupBy("id").agg(F.collect_set("block").alias("blocks"))
-    windows = snippets.join(blocks, "id").mapInArrow(_windows(length, q), f"doc_id {kind}, mark long, head long, tail long, first int, open boolean")
-    windows = scratch.save(windows, "windows")
-    scratch.drop("cores")
-    scratch.drop("snippets")
-    twice = windows.groupBy("head", "tail").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("head", "tail")
-    single = windows.where("open").join(twice, ["head", "tail"], "left_semi").select("doc_id", "mark", "first", (F.col("first") + length).alias("stop"))
-    spans = whole.unionByName(single).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    start = F.array(F.struct(F.lit(0).alias("block"), "bucket", "open"))
+    chosen, before, settled = None, 0, None
+    for step, width in enumerate(WIDTHS):
+        held = snippets.withColumn("blocks", start) if chosen is None else snippets.join(chosen, "id")
+        blocks = held.mapInArrow(_refined(length, q, before, width), "id long, block int, bucket long, whole long, open boolean, first int, stop int")
+        blocks = scratch.save(blocks, f"blocks{step}")
+        spans, left = _sorted(scratch, blocks, step)
+        settled = spans if settled is None else settled.unionByName(spans)
+        chosen = left.groupBy("id").agg(F.collect_set(F.struct("block", "bucket", "open")).alias("blocks"))
+        before = width
+    places = snippets.select("id", "doc_id", "mark").dropDuplicates(["id"])
+    single = settled.distinct().join(places, "id").select("doc_id", "mark", "first", "stop")
+    spans = whole.unionByName(single).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
     spans = scratch.save(spans, "spans")
+    scratch.drop("snippets")
+    for step in range(len(WIDTHS)):
+        scratch.drop(f"settled{step}")
+        scratch.drop(f"left{step}")
     scratch.drop("whole")
-    scratch.drop("windows")
     return spans
 
 
+def _sorted(scratch: Scratch, blocks: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """Of one step's blocks: the spans (id, first, stop) that are settled as repeated, and the blocks that go on.
+
+    ``open`` blocks are those whose windows are not known to be repeated; others are only there to be met.
+    """
+    kinds = blocks.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.max("open").alias("any"), F.min(F.struct("id", "block")).alias("r"))
+    kinds = scratch.save(kinds, f"kinds{step}")
+    twice = kinds.where("n > 1 and any").select("bucket", "whole")
+    settled = blocks.where("open").join(twice, ["bucket", "whole"], "left_semi").select("id", "first", "stop")
+    settled = scratch.save(settled, f"settled{step}")
+    # buckets of several kinds, one of which has still to be decided
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("any")).alias("more")).where("kinds > 1 and more").select("bucket")
+    left = kinds.join(mixed, "bucket", "left_semi").select("r.id", "r.block", "bucket", ((F.col("n") == 1) & F.col("any")).alias("open"))
+    left = scratch.save(left, f"left{step}")
+    scratch.drop(f"kinds{step}")
+    scratch.drop(f"blocks{step}")
+    return settled, left
+
+
 def _met(texts: DataFrame, other: DataFrame, how: str) -> DataFrame:
     other = other.select(*[F.col(c).alias(f"o_{c}" if c in ("doc_id", "mark") else c) for c in other.columns])
     return texts.join(other, texts["mark"].eqNullSafe(other["o_mark"]) & texts["doc_id"].eqNullSafe(other["o_doc_id"]), how)

@@ -126,6 +126,17 @@ def test_repeats_of_other_lengths(spark, length, q):
     assert got == dict(enumerate(repeats.brute_force(texts, length)))
 
 
+def test_repeats_of_many_equal_rows(spark):
+    rng = random.Random(5)
+    long, tail = prose(300, rng), prose(60, rng)
+    texts = [long] * 2000 + [tail + " " + long[700:1200], tail, "x" + tail]
+    df = spark.createDataFrame([(None if k < 2000 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = repeats.digest(repeats.remove(df)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    few = texts[1998:]
+    want = dict(zip([None, None, 2000, 2001, 2002], repeats.brute_force(few)))
+    assert {r["doc_id"]: tuple(r)[1:5] for r in got} == want and {r["doc_id"]: r["count"] for r in got} == {None: 2000, 2000: 1, 2001: 1, 2002: 1}
+
+
 def plain_spans(text, patterns, good):
     out = [(m.start(), n, m.end()) for n, (k, p) in enumerate(patterns.items()) for m in p.finditer(text or "") if good(k, m)]
     return sorted(out)
