@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixwave.llm.common import Scratch
+from fixwave.llm.common import Scratch, let
 
 ANNOUNCED = r"(?:wrote|writes|said|schrieb|escribi\x{f3}|a \x{e9}crit)[ \t]*:[ \t\r]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,56 +37,63 @@ def _lines(text: Column) -> Column:
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), parsed)
     # a line that announces the quote below it belongs to the quote
-    told = lambda x, i: (x["level"] == 0) & x["line"].rlike(ANNOUNCED) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
-    return F.filter(lines, lambda x, i: ~told(x, i))
+    told = lambda ls, x, i: (x["level"] == 0) & x["line"].rlike(ANNOUNCED) & (F.coalesce(F.get(ls, i + 1)["level"], F.lit(0)) > 0)
+    return let(lines, lambda ls: F.filter(ls, lambda x, i: ~told(ls, x, i)))
 
 
 def _runs(lines: Column) -> Column:
     """Maximal runs of lines of one level (blank lines end a run): level and normalised text."""
-    none = F.array().cast("array<struct<level:int,text:string>>")
-    zero = F.struct(none.alias("done"), F.lit(-1).alias("level"), F.lit("").alias("text"))
-    closed = lambda acc: F.when(acc["text"] != "", F.concat(acc["done"], F.array(F.struct(acc["level"].alias("level"), acc["text"].alias("text"))))).otherwise(acc["done"])
 
-    def step(acc, x):
-        same = (x["level"] == acc["level"]) & (x["norm"] != "")
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
-            F.when(x["norm"] == "", F.lit(-1)).otherwise(x["level"]).alias("level"),
-            F.when(same, F.concat(acc["text"], F.lit(" "), x["norm"])).otherwise(x["norm"]).alias("text"),
-        )
+    def cut(ls, ks, starts):
+        text = lambda a, k: F.array_join(F.transform(F.slice(ls, a + 1, F.coalesce(F.get(starts, k + 1), F.size(ls)) - a), lambda x: x["norm"]), " ")
+        return F.filter(F.transform(starts, lambda a, k: F.struct(F.get(ks, a).alias("level"), text(a, k).alias("text"))), lambda r: r["level"] >= 0)
+
+    def starts(ks):
+        begins = lambda i: (i < F.size(ks)) & ((i == 0) | (F.get(ks, i) != F.get(ks, i - 1)))
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(ks) - 1, F.lit(0))), begins)
+
+    levels = lambda ls: F.transform(ls, lambda x: F.when(x["norm"] == "", -1).otherwise(x["level"]))
+    return let(lines, lambda ls: let(levels(ls), lambda ks: let(starts(ks), lambda st: cut(ls, ks, st))))
+
 
-    return F.aggregate(lines, zero, step, closed)
+def _marked(units: Column) -> Column:
+    """(level, hash, chars) of each of an array of texts, blank ones left out."""
+    return F.transform(F.filter(units, lambda u: u["text"] != ""), lambda u: F.struct(u["level"].alias("level"), F.unhex(F.md5(u["text"].cast("binary"))).alias("hash"), F.length(u["text"]).alias("chars")))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, lines, runs, content, n_quotes)."""
-    rows = messages.select("conv_id", "turn", "role", _lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("runs", _runs(F.col("lines")))
-    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    content = F.regexp_replace(own, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    return rows.withColumn("content", content).withColumn("n_quotes", F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long"))
-
-
-def _units(rows: DataFrame, quoted: bool) -> DataFrame:
-    """(conv_id, turn, level, hash, chars) of quoted passages and lines, or of own texts, paragraphs and lines."""
-    mine = (lambda x: x["level"] > 0) if quoted else (lambda x: x["level"] == 0)
-    runs = F.filter("runs", mine)
-    lines = F.transform(F.filter("lines", mine), lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("text")))
-    units = F.concat(runs, lines)
-    if not quoted:
-        whole = F.array_join(F.transform(runs, lambda r: r["text"]), " ")
-        units = F.concat(units, F.array(F.struct(F.lit(0).alias("level"), whole.alias("text"))))
-    units = F.array_distinct(F.filter(units, lambda u: u["text"] != ""))
-    out = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units).alias("u"))
-    return out.select("conv_id", "turn", F.col("u.level").alias("level"), F.md5(F.col("u.text").cast("binary")).alias("hash"), F.length("u.text").alias("chars"))
+    """(conv_id, turn, role, content, n_quotes, quoted, own): the hashes of quoted passages and lines, and of own texts,
+    paragraphs and lines. Each message is parsed here once, so the result should be saved."""
+    lines = _lines(F.col("text"))
+
+    def told(ls, runs):
+        own = F.array_join(F.transform(F.filter(ls, lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
+        unit = lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("text"))
+        at = lambda xs, quoted: F.filter(xs, (lambda x: x["level"] > 0) if quoted else (lambda x: x["level"] == 0))
+        whole = F.struct(F.lit(0).alias("level"), F.array_join(F.transform(at(runs, False), lambda r: r["text"]), " ").alias("text"))
+        return F.struct(
+            F.regexp_replace(own, r"^[ \t\r\n]++|(?<![ \t\r\n])[ \t\r\n]++$", "").alias("content"),
+            F.size(at(runs, True)).cast("long").alias("n_quotes"),
+            _marked(F.concat(at(runs, True), F.transform(at(ls, True), unit))).alias("quoted"),
+            _marked(F.concat(at(runs, False), F.transform(at(ls, False), unit), F.array(whole))).alias("own"),
+        )
+
+    both = let(lines, lambda ls: let(_runs(ls), lambda runs: told(ls, runs)))
+    return messages.select("conv_id", "turn", "role", both.alias("m")).select("conv_id", "turn", "role", "m.*")
+
+
+def _units(rows: DataFrame, column: str) -> DataFrame:
+    """(conv_id, turn, level, hash, chars) of an array of units; messages without a place in a conversation have none."""
+    out = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(column).alias("u"))
+    return out.select("conv_id", "turn", "u.level", "u.hash", "u.chars")
 
 
 def replies(rows: DataFrame, least: int = 12) -> DataFrame:
     """(conv_id, turn, reply_to) of messages that quote an earlier one."""
     quoting = rows.where("n_quotes > 0")
-    quotes = _units(quoting, True)
+    quotes = _units(quoting, "quoted")
     talked = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-    origins = _units(talked, False).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    origins = _units(talked, "own").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     linked = quotes.join(origins, ["conv_id", "hash"]).where("origin < turn").distinct()
     votes = linked.groupBy("conv_id", "turn", (F.col("chars") >= least).alias("long"), "level", "origin").agg(F.sum("chars").alias("chars"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("long", -F.col("level"), "chars", "origin")).alias("b"))
@@ -109,7 +116,7 @@ def _threads(parents: DataFrame, scratch: Scratch) -> DataFrame:
 def format_chats(messages: DataFrame, least: int = 12) -> DataFrame:
     """(conv_id, root, depth, turn, role, reply_to, n_quotes, content, message): one row for each message, in reply order."""
     scratch = Scratch(messages.sparkSession, "chat")
-    rows = parsed(messages)
+    rows = scratch.save(parsed(messages), "parsed")
     threads = _threads(replies(rows, least), scratch)
     out = rows.select("conv_id", "turn", "role", "n_quotes", "content").join(threads, ["conv_id", "turn"], "left")
     message = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>"))

@@ -12,7 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,6 +84,33 @@ def with_bases(df: DataFrame, part: str, amount: str, base: str) -> DataFrame:
     return df.join(F.broadcast(bases), part)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` or lambdas within it refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine, zero: int, size: int = 256) -> Column:
+    """For each element of an array of longs, what ``combine`` makes of those before it (from ``zero``).
+
+    Folding copies what it has collected at each step, so it goes over slices of ``size`` elements, each from the total of the
+    slices before; arrays of a million elements are a matter of seconds.
+    """
+    none = F.array().cast("array<bigint>")
+    zero = F.lit(zero).cast("bigint")
+
+    def fold(part, start):
+        step = lambda acc, x: F.struct(combine(acc["at"], x).cast("bigint").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+        total = lambda part: F.aggregate(part, zero, lambda acc, x: combine(acc, x).cast("bigint"))
+        sums = lambda ps: let(fold(F.transform(ps, total), zero), lambda starts: F.flatten(F.zip_with(ps, starts, fold)))
+        return F.when(F.size(v) > 0, let(parts, sums)).otherwise(none)
+
+    return let(values, whole)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, heavy: int = 20_000) -> DataFrame:
     """Left join of rows with a table that has one row for each key of theirs, where a few keys may have most of the rows.
 

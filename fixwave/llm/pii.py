@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixwave.llm.common import Scratch
+from fixwave.llm.common import Scratch, let, running
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns with the matches of the plain ones. A run of local-part characters is tried once, at its start or where the
@@ -59,19 +59,18 @@ SPAN = "kind:int,start:long,stop:long,base:boolean," + ",".join(f"{v}:int" for v
 
 def _matches(text: Column, pattern: str) -> Column:
     """Each match with its place: the texts between matches and the matches themselves add up to every position."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("value"), F.element_at(gaps, i + 1).alias("before")))
-    empty = F.array().cast("array<struct<value:string,before:string,start:bigint,stop:bigint>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["before"])
-        stop = start + F.length(x["value"])
-        span = F.struct(x["value"].alias("value"), F.right(x["before"], F.lit(32)).alias("before"), start.alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def pair(m, g):
+        return F.struct(m.alias("value"), F.right(g, F.lit(32)).alias("before"), F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def place(x, at):
+        start = at + x["gap"]
+        return F.struct(x["value"].alias("value"), x["before"].alias("before"), start.alias("start"), (start + x["size"]).alias("stop"))
+
+    pairs = lambda z: F.zip_with(z["found"], F.slice(z["gaps"], 1, F.size(z["found"])), pair)
+    placed = lambda p: F.zip_with(p, running(F.transform(p, lambda x: x["gap"] + x["size"]), lambda a, x: a + x, 0), place)
+    return let(both, lambda z: let(pairs(z), placed))
 
 
 def _digits(value: Column) -> Column:
@@ -112,7 +111,7 @@ def _voted(kind: str, n: int, wide: bool):
             (F.lit(0) if wide else flag(passes, ~passes)).alias("v_rule"),
             flag(value.rlike(KNOWN[kind]), ~value.rlike(KNOWN[kind])).alias("v_known"),
             flag(x["before"].rlike(CONTEXT[kind]), F.lit(False)).alias("v_context"),
-            flag(value.rlike(SHAPE[kind]), value.rlike(PLACEHOLDER)).alias("v_shape"),
+            F.when(value.rlike(PLACEHOLDER), -1).when(value.rlike(SHAPE[kind]), 1).otherwise(0).alias("v_shape"),
         )
 
     return span
@@ -188,10 +187,41 @@ def fit(spans: DataFrame, rounds: int = 50) -> Column:
 
 def _kept(spans: Column, probability, accept: float) -> Column:
     """Base spans, and added ones that the classifier accepts and that overlap no base span; in order of start, then kind."""
-    base = F.filter(spans, lambda s: s["base"])
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    added = F.filter(spans, lambda s: ~s["base"] & (probability(s) >= accept) & clear(s))
-    return F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["base"].alias("base"))))
+    far = 1 << 62
+    good = F.filter(spans, lambda s: s["base"] | (probability(s) >= accept))
+    order = F.sort_array(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["base"].alias("base"))))
+    most = lambda a, x: F.greatest(a, x)
+    # how far base spans before a span reach, and (negated) where the next base span after it starts
+    reach = lambda ss: running(F.transform(ss, lambda s: F.when(s["base"], s["stop"]).otherwise(0)), most, 0)
+    ahead = lambda ss: F.reverse(running(F.reverse(F.transform(ss, lambda s: F.when(s["base"], -s["start"]).otherwise(-far))), most, -far))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    clear = lambda x: x["a"]["base"] | ((x["b"]["a"] <= x["a"]["start"]) & (-x["b"]["b"] >= x["a"]["stop"]))
+    return let(order, lambda ss: F.transform(F.filter(F.zip_with(ss, F.zip_with(reach(ss), ahead(ss), pair), pair), clear), lambda x: x["a"]))
+
+
+def _masked(text: Column, spans: Column, names: tuple) -> Column:
+    """The text with each span (in order of start) replaced by its name; what overlaps the one before goes with it.
+
+    Places are looked up in blocks of the text, as counting to a place from the start of a long text for each span would take
+    quadratic time.
+    """
+    block = 1024
+    name = F.array(*map(F.lit, names))
+    reach = lambda ss: running(F.transform(ss, lambda s: s["stop"]), lambda a, x: F.greatest(a, x), 0)
+    part = lambda s, at: F.struct(at.alias("at"), s["start"].alias("to"), s["kind"].alias("kind"))
+
+    def cut(blocks, at, to):
+        first = F.floor(at / block).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.floor(to / block).cast("int") - first + 1), "")
+        return F.substring(some, (at % block + 1).cast("int"), (to - at).cast("int"))
+
+    def joined(blocks, ss):
+        parts = F.filter(F.zip_with(ss, reach(ss), part), lambda p: p["to"] >= p["at"])
+        end = F.array_max(F.transform(ss, lambda s: s["stop"]))
+        return F.concat(F.array_join(F.transform(parts, lambda p: F.concat(cut(blocks, p["at"], p["to"]), F.element_at(name, p["kind"] + 1))), ""), cut(blocks, end, F.length(text).cast("bigint")))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), spans.alias("spans")), lambda z: let(z["blocks"], lambda bs: let(z["spans"], lambda ss: joined(bs, ss))))
 
 
 def find(docs: DataFrame, accept: float = 0.9) -> DataFrame:
@@ -205,16 +235,8 @@ def mask(docs: DataFrame, accept: float = 0.9) -> DataFrame:
     both = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), candidates(docs["text"]).alias("spans"))
     both = Scratch(docs.sparkSession, "pii").save(both, "masked")
     text, spans = F.col("d.text"), _kept(F.col("spans"), fit(both), accept)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        name = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
-        ahead = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], ahead, name)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    masked = F.when(F.size(spans) > 0, masked).otherwise(text)
+    names = tuple(f"[{k.upper()}]" for k in KINDS)
+    masked = let(spans, lambda ss: F.when(F.size(ss) > 0, _masked(text, ss, names)).otherwise(text))
     out = both.withColumn("__t", masked)
     return out.select(*[F.col("__t").alias(c) if c == "text" else F.length("__t").cast("long").alias(c) if c == "n_chars" else F.col("d").getField(c).alias(c) for c in docs.columns])
 

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -247,6 +248,43 @@ def test_personal_data(spark, empty):
     assert pii.find(empty).count() == 0 and pii.mask(empty).columns == empty.columns
 
 
+def test_personal_data_of_very_long_texts(spark):
+    """A text of a megabyte with fifty thousand matches takes no quadratic time; places and masks are those of a plain walk."""
+    text = "".join(f"a{k % 97}@b{k % 89}.io{'é☎'[k % 2]} " for k in range(50_000)) + "+" * 1000 + " 4111 1111 1111 1111 x " + "12 " * 20_000
+    df = spark.createDataFrame([(0, text), (1, "x@y.io")], "doc_id long, text string")
+    start = time.perf_counter()
+    row = {r["doc_id"]: r for r in pii.digest(pii.find(df)).collect()}[0]
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    at = text.index("4111")
+    want.append(("card", at, at + 19))
+    assert row["n_email"] == 50_000 and row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}[0]
+    out, done = [], 0
+    for k, a, b in want:
+        out += [text[done:a], f"[{k.upper()}]"]
+        done = b
+    assert masked == "".join(out) + text[done:] and time.perf_counter() - start < 90
+
+
+def test_personal_data_added_spans(spark):
+    """The wider phone pattern adds spans where votes favour it, never over base spans; placeholders are not added."""
+    rng = random.Random(3)
+    phones = [f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}" for _ in range(60)]
+    texts = [f"{prose(6, rng)} call phone {p} or mail a{k}@b.org ok" for k, p in enumerate(phones)] + ["call phone (000) 000-0000 ok", "+1 (212) 555-1234 and 4111 1111 1111 1111 212 555 1234"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(70, texts[0]), (70, texts[0])], "doc_id long, text string")
+    rows = [(r["doc_id"], r["spans"]) for r in pii.find(df).collect()]
+    assert len(rows) == len(texts) + 2 and len({str(s) for d, s in rows if d == 70}) == 1
+    found = dict(rows)
+    for k, p in enumerate(phones):
+        added = [texts[k][s["start"] : s["stop"]] for s in found[k] if not s["base"]]
+        assert added == [p], (texts[k], found[k])
+    assert not [s for s in found[60] if not s["base"]]
+    for spans in found.values():
+        base = [s for s in spans if s["base"]]
+        assert not [s for s in spans if not s["base"] and any(b["start"] < s["stop"] and s["start"] < b["stop"] for b in base)]
+        assert spans == sorted(spans, key=lambda s: (s["start"], s["kind"]))
+
+
 def test_personal_data_runs_no_python(spark, docs, capsys):
     pii.digest(pii.find(docs)).explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
@@ -492,6 +530,65 @@ def test_chat_links_short_quotes_where_no_longer_one_links(spark):
     assert got == {(1, 0): (None, 0), (1, 1): (None, 1), (1, 2): (1, 1), (1, 3): (0, 0), (1, 4): (0, 0), (1, 5): (None, 5), (1, 6): (None, 6), (2, 0): (None, 0), (2, 1): (None, 1), (2, 2): (None, 2)}
 
 
+def plain_chat(rows, least=12):
+    """reply_to of each message, straight from the definition."""
+
+    def parse(text):
+        lines = []
+        for line in (text or "").split("\n"):
+            marks = re.match(r"[> \t]*", line)[0] if re.match(r"[ \t]*>", line) else ""
+            norm = re.sub(r"[ \t\r]+", " ", line[len(marks) :]).strip(" ")
+            lines.append((marks.count(">"), line, "".join(c.lower() if "A" <= c <= "Z" else c for c in norm)))
+        lines = [x for i, x in enumerate(lines) if not (x[0] == 0 and re.search(chat.ANNOUNCED.replace(r"\x{f3}", "ó").replace(r"\x{e9}", "é"), x[1]) and i + 1 < len(lines) and lines[i + 1][0] > 0)]
+        runs, last = [], None
+        for level, _, norm in lines:
+            if norm == "":
+                last = None
+            elif last == level:
+                runs[-1] = (level, runs[-1][1] + " " + norm)
+            else:
+                runs.append((level, norm))
+                last = level
+        return lines, runs
+
+    said, out = {}, {}
+    for c, t, text in rows:
+        lines, runs = parse(text)
+        for unit in {r for lv, r in runs if lv == 0} | {n for lv, _, n in lines if lv == 0} | {" ".join(r for lv, r in runs if lv == 0)}:
+            said[c, unit] = min(t, said.get((c, unit), t))
+    for c, t, text in rows:
+        lines, runs = parse(text)
+        votes = {}
+        for lv, unit in {x for x in runs if x[0] > 0} | {(lv, n) for lv, _, n in lines if lv > 0 and n}:
+            if said.get((c, unit), t) < t:
+                key = (len(unit) >= least, lv, said[c, unit])
+                votes[key] = votes.get(key, 0) + len(unit)
+        out[c, t] = max((k[0], -k[1], n, k[2]) for k, n in votes.items())[3] if votes else None
+    return out
+
+
+def test_chat_equals_brute_force(spark):
+    rng = random.Random(31)
+    rows = []
+    for c in range(25):
+        told = []
+        for t in range(12):
+            lines = [prose(rng.randrange(1, 4), rng) if rng.random() < 0.8 else rng.choice(["", "ok", "Yes."]) for _ in range(rng.randrange(1, 5))]
+            if told and rng.random() < 0.7:
+                old = rng.choice(told).split("\n")
+                cut = old[rng.randrange(len(old)) :]
+                lines = [rng.choice(["Anna wrote:", "so"]), *[rng.choice(["> ", ">", ">  "]) + x.upper() for x in cut], *lines]
+            told.append("\n".join(lines))
+            rows.append((c, t, told[-1]))
+    long = "\n".join(f"> line {k} of many" if k % 3 else f"own {k}" for k in range(100_000))
+    rows += [(90, 0, "Line 7 of   many\nx"), (90, 1, long)]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn int, role string, text string").repartition(4)
+    start = time.perf_counter()
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.format_chats(df).select("conv_id", "turn", "reply_to").collect()}
+    assert got == plain_chat(rows) and sum(v is not None for v in got.values()) > 100 and got[90, 1] == 0
+    assert time.perf_counter() - start < 90
+
+
 def test_chat_runs_no_python(spark, sf, capsys):
     queries.QUERIES["op8_chat"](spark, sf).explain("formatted")
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
