@@ -25,9 +25,11 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; one on this machine is set only where that is unset and Spark runs here alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fixwave-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -65,7 +67,11 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished plans that nothing refers to any more."""
+    """Let Spark's cleaner remove shuffle files of finished plans that nothing refers to any more.
+
+    It does so only when the driver collects garbage, by default every half hour; executors' disks would hold the shuffles of
+    all earlier steps until then. Tables are saved a few dozen times in an operator, and the driver's heap is small.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -493,10 +493,26 @@ def test_leaks_at_the_bound_and_of_few_words(spark):
     df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = leaks.find(df, bench).collect()
     got = {(r["doc_id"], r["item_id"], r["edits"]) for r in found}
-    assert got == leaks.brute_force(texts, items) and {(k, k) for k in range(90)} | {(90, 200), (91, 201), (94, 202)} <= {g[:2] for g in got}
+    want = leaks.brute_force(texts, items)
+    assert got <= want and len(got) >= 0.97 * len(want) and {(90, 200), (91, 201), (94, 202)} <= {g[:2] for g in got}
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in leaks.find(df, bench, exact=True).collect()} == want
     assert [texts[90].encode()[r["start"] : r["stop"]] for r in found if r["item_id"] == 200] == [b"quite\nrare"]
 
 
+def test_leaks_by_lsh_reach_the_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 100 = 0 or doc_id % 7 = 0")
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    got, want = ({(r["doc_id"], r["item_id"]) for r in leaks.find(docs, bench, exact=x).collect()} for x in (False, True))
+    assert got <= want and len(got) >= 0.97 * len(want) > 10, (len(got), len(want))
+
+
+@pytest.mark.parametrize("m", [5, 9, 14, 59, 200])
+def test_walks_needed_reach_the_bound(m):
+    g = leaks.size_class(m)
+    assert g <= m <= g + max(1, g // 20) and 0 <= leaks.walks_needed(g, m, m // 5, 0.9) <= leaks.MOST
+    assert leaks.walks_needed(g, m, 0, 0.99) == leaks.FEW
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     items, texts = leaked()
     df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
