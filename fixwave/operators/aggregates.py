@@ -66,10 +66,16 @@ def argmax(vector: Column) -> Column:
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
 
 
-def order_statistic(values: Column, level: float) -> Column:
-    """The element at int(n * level) of the sorted values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.least(F.floor(F.size(s) * level), F.size(s) - 1).cast("int"))
+def order_statistic(df: DataFrame, by: list[str], value: str, level: float, out: str) -> DataFrame:
+    """(by, out): the element at int(n * level) of each group's values in order.
+
+    Equal values are counted before anything is ordered, and the counts summed along the order of values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*by).orderBy(value)
+    counts = counts.withColumn("__upto", F.sum("__n").over(upto)).join(counts.groupBy(*by).agg(F.sum("__n").alias("__all")), by)
+    place = F.least(F.floor(F.col("__all") * level), F.col("__all") - 1)
+    return counts.where((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place)).select(*by, F.col(value).alias(out))
 
 
 def gram_matrix(re: list[Column], im: list[Column]) -> list[Column]:
@@ -91,13 +97,17 @@ def density(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame
 def mean_resample(df: DataFrame, by: list[str], at: str, values: list[str], bins: int = 100, longest: float = 3600.0) -> DataFrame:
     """Means over equal intervals of each group's time range, closed on both sides (a point on an edge is in both).
 
-    There are ``bins`` intervals at most, and as many as it takes for none to be longer than ``longest``.
+    There are ``bins`` equal intervals; where these would be longer than ``longest``, intervals are of just that length, and as
+    many as reach the end of the range.
     """
     bounds = df.groupBy(*by).agg(F.min(at).alias("__a"), F.max(at).alias("__z"))
     rows = df.join(bounds, by)
     span = F.col("__z") - F.col("__a")
-    count = F.greatest(F.lit(bins).cast("long"), F.ceil(span / longest)) if longest else F.lit(bins).cast("long")
-    rows = rows.withColumn("__w", span / count).withColumn("__k", count)
+    width, count = span / F.lit(float(bins)), F.lit(bins).cast("long")
+    if longest:
+        count = F.when(width > longest, F.ceil(span / longest)).otherwise(count)
+        width = F.least(width, F.lit(longest))
+    rows = rows.withColumn("__w", width).withColumn("__k", count)
     place = F.coalesce(F.try_divide(F.col(at) - F.col("__a"), F.col("__w")), F.lit(0.0))
     edge = place == F.floor(place)
     which = F.array_compact(F.array(F.when(edge & (place > 0), F.floor(place) - 1), F.when(place < F.col("__k"), F.floor(place))))

@@ -134,16 +134,32 @@ def verified(samples: DataFrame, steering: DataFrame) -> DataFrame:
 
 
 def fit_model(model: DataFrame, measured: DataFrame, orders: list[tuple[int, ...]]) -> DataFrame:
-    """For each site, the channel order and rotation of a model's vectors (bearing, m1r..m4i) nearest to the measured ones.
+    """For each site: the channel order and rotation of a model's vectors (bearing, m1r..m4i) nearest to the measured ones, the
+    phase offset of each channel but the first, and the score, the mean of 1 - |m c*|^2 over measured bearings.
 
-    All 360 rotations of every order are scored by the mean of 1 - |m c*|^2 over bearings; a table of 360 x orders rows.
+    Each of the candidates (orders x 360 rotations) is turned, channel by channel, by its mean unwrapped phase against the
+    measured vectors before it is scored; the first of equals stands. The model is a table of 360 rows; a site has as many.
     """
-    turns = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda k: k)
-    rows = None
-    for n, order in enumerate(orders):
-        part = model.select("bearing", F.lit(n).alias("order"), *[F.col(f"m{c}{p}").alias(f"sv{i}{p}") for i, c in zip(CHANNELS, order) for p in "ri"])
-        rows = part if rows is None else rows.unionByName(part)
-    turned = rows.withColumn("turn", F.explode(turns)).withColumn("bearing", F.pmod(F.col("bearing") + F.col("turn"), F.lit(360)))
-    both = bartlett(measured, turned, ["bearing"])
-    scores = both.groupBy("site", "order", "turn").agg(F.avg(1 - F.col("power")).alias("score"))
-    return scores.groupBy("site").agg(F.min(F.struct("score", "order", "turn")).alias("b")).select("site", "b.*")
+    reach_workers(measured.sparkSession)
+    names = [f"{c}{p}" for c in CHANNELS for p in "ri"]
+    rows = sorted(model.select("bearing", *[f"m{x}" for x in names]).limit(360).collect())
+    pattern = np.array([[complex(r[1 + 2 * k], r[2 + 2 * k]) for k in range(4)] for r in rows])
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna().sort_values("bearing")
+        real = np.stack([pdf[f"sv{c}r"].to_numpy() + 1j * pdf[f"sv{c}i"].to_numpy() for c in CHANNELS], axis=1)
+        at = (pdf["bearing"].to_numpy(int)[None, :] - np.arange(len(pattern))[:, None]) % len(pattern)
+        best = None
+        for n, order in enumerate(orders):
+            turned = pattern[:, [c - 1 for c in order]][at]  # rotation, bearing, channel
+            offset = np.unwrap(np.angle(turned / real), axis=1).mean(axis=1) if len(real) else np.zeros((len(pattern), 4))
+            offset[:, 0] = 0.0
+            turned = turned * np.exp(-1j * offset)[:, None, :]
+            score = 1 - (np.abs((np.conj(real)[None] * turned).sum(axis=2)) ** 2).mean(axis=1) if len(real) else np.full(len(pattern), np.inf)
+            turn = int(score.argmin())
+            if np.isfinite(score[turn]) and (best is None or score[turn] < best[3]):
+                best = (key[0], n, turn, float(score[turn]), [float(x) for x in offset[turn, 1:]])
+        return pd.DataFrame([best] if best else [], columns=["site", "order", "turn", "score", "offsets"])
+
+    kind = measured.schema["site"].dataType.simpleString()
+    return measured.select("site", "bearing", *[f"sv{x}" for x in names]).groupBy("site").applyInPandas(run, f"site {kind}, order int, turn int, score double, offsets array<double>")

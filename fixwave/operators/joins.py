@@ -33,7 +33,8 @@ def asof_linear(left: DataFrame, right: DataFrame, by: list[str], at: str, value
     both = both.unionByName(points.select(*by, at, F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "__p"))
     order = Window.partitionBy(*by).orderBy(at)  # a range frame: points of the row's own time count on both sides
     both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__b", F.first("__p", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*by).orderBy(F.col(at).desc())  # the next point is the last one of the reversed order: a growing frame takes each row once
+    both = both.withColumn("__b", F.last("__p", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     both = both.where("__row is not null and __a is not null and __b is not null")
     share = F.coalesce(F.try_divide(F.col(at) - F.col("__a.t"), F.col("__b.t") - F.col("__a.t")), F.lit(0.0))
     return both.select("__row.*", *[(F.col(f"__a.{v}") + share * (F.col(f"__b.{v}") - F.col(f"__a.{v}"))).alias(v) for v in values])

@@ -17,6 +17,7 @@ from fixwave.operators.joins import range_pairs
 from fixwave.operators.windows import augmented
 
 GROUP = ["deployment", "site", "interval"]
+POOL = ["deployment", "interval"]
 
 
 def parameter_flag(band3: Column, band10: Column, limit3: Column, limit10: Column) -> Column:
@@ -36,20 +37,20 @@ def burst_bins(df: DataFrame, cfg: Scoring) -> DataFrame:
 
 
 def expected_interval(df: DataFrame, rate: float, cfg: Scoring) -> DataFrame:
-    """(mode, moment) in milliseconds of gaps between pulses near the nominal interval; zero for two gaps or fewer.
+    """(mode, moment) in milliseconds of a deployment's gaps in an interval; zero for two gaps or fewer.
 
-    ``rate`` is the nominal number of pulses a minute.
+    Gaps are between pulses of one site and near the nominal interval; those of all sites make one histogram. ``rate`` is the
+    nominal number of pulses a minute.
     """
     least, most = 60_000 * cfg.interval_low / rate, 60_000 * cfg.interval_high / rate
-    gaps = range_pairs(df.select(*GROUP, "t"), GROUP, "t", least, most, []).select(*GROUP, (F.col("t_2") - F.col("t_1")).alias("gap"))
-    found = mode_and_moment(equal_bins(gaps, GROUP, "gap", cfg.mode_bin_ms), GROUP)
-    return found.select(*GROUP, F.when(F.col("n") > 2, F.col("mode")).otherwise(0).cast("long").alias("pulse_interval"), F.when(F.col("n") > 2, F.col("moment")).otherwise(0.0).alias("pulse_variation"))
+    gaps = range_pairs(df.select(*GROUP, "t"), GROUP, "t", least, most, []).select(*POOL, (F.col("t_2") - F.col("t_1")).alias("gap"))
+    found = mode_and_moment(equal_bins(gaps, POOL, "gap", cfg.mode_bin_ms), POOL)
+    return found.select(*POOL, F.when(F.col("n") > 2, F.col("mode")).otherwise(0).cast("long").alias("pulse_interval"), F.when(F.col("n") > 2, F.col("moment")).otherwise(0.0).alias("pulse_variation"))
 
 
-def corroborate(df: DataFrame, intervals: DataFrame, cfg: Scoring) -> DataFrame:
-    """Pulses (unflagged) with score and theoretical score by the expected interval of their group."""
-    rows = df.join(intervals, GROUP, "left").withColumn("pulse_interval", F.coalesce("pulse_interval", F.lit(0).cast("long")))
-    rows = rows.withColumn("__own", (F.floor(F.col("t") / cfg.bin_ms) * cfg.bin_ms).cast("long"))
+def corroborate(df: DataFrame, cfg: Scoring) -> DataFrame:
+    """Pulses (unflagged) with their score by the ``pulse_interval`` (0: none) of their deployment and interval."""
+    rows = df.withColumn("__own", (F.floor(F.col("t") / cfg.bin_ms) * cfg.bin_ms).cast("long"))
     bins = rows.groupBy(*GROUP, "__own").agg(F.count("*").alias("__n"))
     reach = F.floor(F.lit(cfg.reach_ms) / F.col("pulse_interval")).cast("int")
     steps = F.when((F.col("pulse_interval") > 0) & (F.col("pulse_interval") <= cfg.reach_ms), F.sequence(1 - reach, reach - 1)).otherwise(F.array().cast("array<int>"))
@@ -63,8 +64,7 @@ def corroborate(df: DataFrame, intervals: DataFrame, cfg: Scoring) -> DataFrame:
         .when(F.col("pulse_interval") > cfg.reach_ms, -1)
         .otherwise(F.coalesce("__hits", F.lit(0)) - 1)
     )
-    theory = F.when(F.col("pulse_interval") > 0, F.floor(F.lit(2 * cfg.reach_ms) / F.nullif(F.col("pulse_interval"), F.lit(0).cast("long")))).otherwise(0)
-    return rows.withColumn("score", score.cast("long")).withColumn("theoretical_score", theory.cast("long")).drop("__own", "__n", "__hits")
+    return rows.withColumn("score", score.cast("long")).drop("__own", "__n", "__hits")
 
 
 def score(pulses: DataFrame, rate: float, limits: DataFrame | None = None, cfg: Scoring = Scoring()) -> tuple[DataFrame, DataFrame]:
@@ -81,10 +81,17 @@ def score(pulses: DataFrame, rate: float, limits: DataFrame | None = None, cfg:
     rows = rows.join(burst_bins(rows, cfg), GROUP, "left")
     burst = F.coalesce(F.exists("bursts", lambda b: (F.col("t") >= b["low"]) & (F.col("t") <= b["high"])), F.lit(False)) & ~F.col("flagged")
     rows = rows.withColumn("burst", burst).drop("bursts")
-    fine = rows.where("not flagged and not burst")
-    intervals = expected_interval(fine, rate, cfg)
-    scored = corroborate(fine.select(*GROUP, "id", "t", "core"), intervals, cfg).where("core").select(*GROUP, "id", "t", "score", "theoretical_score")
-    other = rows.where("core and (flagged or burst)").select(*GROUP, "id", "t", F.when(F.col("flagged"), -1).otherwise(-2).cast("long").alias("score"), F.lit(0).cast("long").alias("theoretical_score"))
-    out = scored.unionByName(other)
-    out = out.withColumn("max_score", F.max("score").over(Window.partitionBy(*GROUP)))
-    return out, intervals
+    found = expected_interval(rows.where("not flagged and not burst"), rate, cfg)
+    # a site's chunk, context and flagged pulses included, is scored if it has more than two pulses and an interval was found
+    chunks = rows.groupBy(*GROUP).agg(F.count("*").alias("__chunk")).join(found, POOL, "left")
+    use = (F.col("__chunk") > 2) & (F.coalesce("pulse_interval", F.lit(0)) > 0)
+    chunks = chunks.select(*GROUP, F.when(use, F.col("pulse_interval")).otherwise(0).cast("long").alias("pulse_interval"), "pulse_variation")
+    rows = rows.join(chunks.select(*GROUP, "pulse_interval"), GROUP)
+    scored = corroborate(rows.where("not flagged and not burst").select(*GROUP, "id", "t", "core", "pulse_interval"), cfg)
+    other = rows.where("flagged or burst").select(*GROUP, "id", "t", "core", "pulse_interval", F.when(F.col("flagged"), -1).otherwise(-2).cast("long").alias("score"))
+    theory = F.when(F.col("pulse_interval") > 0, F.floor(F.lit(2 * cfg.reach_ms) / F.nullif(F.col("pulse_interval"), F.lit(0).cast("long")))).otherwise(0)
+    out = scored.select(*other.columns).unionByName(other).withColumn("theoretical_score", theory.cast("long"))
+    # the greatest score of the whole chunk, whose context is cut off after that
+    most = F.when(F.col("pulse_interval") > 0, F.max("score").over(Window.partitionBy(*GROUP))).otherwise(0).cast("long")
+    out = out.withColumn("max_score", most).where("core").select(*GROUP, "id", "t", "score", "theoretical_score", "max_score")
+    return out, chunks.where("pulse_interval > 0")

@@ -24,15 +24,17 @@ _SCORE = """WITH p AS (SELECT event_id AS id, event_type AS site, epoch_us(ts) /
 a AS (SELECT *, t // 21600000 * 21600000 AS s FROM p), r0 AS (SELECT id, site, t, flagged, s AS i, true AS core FROM a UNION ALL SELECT id, site, t, flagged, s - 21600000, false FROM a WHERE t - s < 3600000 UNION ALL SELECT id, site, t, flagged, s + 21600000, false FROM a WHERE t - s >= 18000000),
 b AS (SELECT site, i, least((t - i + 3600000) // 4800000, 5) AS k, count(*) AS n FROM r0 WHERE NOT flagged GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY site, i) AS m FROM b), bad AS (SELECT site, i, i - 3600000 + k * 4800000 AS low FROM c WHERE m >= 20 AND n / 10.0 > 3.0),
 r AS (SELECT r0.*, NOT flagged AND EXISTS (SELECT 1 FROM bad WHERE bad.site = r0.site AND bad.i = r0.i AND r0.t >= low AND r0.t <= low + 4800000) AS burst FROM r0), f AS (SELECT * FROM r WHERE NOT flagged AND NOT burst),
-g AS (SELECT x.site, x.i, y.t - x.t AS gap FROM f x JOIN f y ON x.site = y.site AND x.i = y.i AND y.t - x.t > 60000 * 0.33 / (60000 / 1800000.0) AND y.t - x.t < 60000 * 1.67 / (60000 / 1800000.0)),
-h0 AS (SELECT site, i, min(gap) AS low, max(gap) AS high, CAST(1 + floor((max(gap) - min(gap)) / 120000.0) AS BIGINT) AS bins FROM g GROUP BY ALL),
-h AS (SELECT site, i, low, high, bins, least(CAST(floor(coalesce((gap - low) * bins / NULLIF(CAST(high - low AS DOUBLE), 0), 0)) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM g JOIN h0 USING (site, i) GROUP BY ALL),
-m AS (SELECT site, i, CAST(arg_max(floor(low + (bin + 0.5) * ((high - low) / CAST(bins AS DOUBLE))), n * 1000000 - bin) AS BIGINT) AS mode, sum(n) AS n FROM h GROUP BY ALL),
-q AS (SELECT f.*, coalesce(CASE WHEN m.n > 2 THEN m.mode END, 0) AS pi, t // 60000 * 60000 AS own FROM f LEFT JOIN m USING (site, i)), occ AS (SELECT site, i, own AS bin, count(*) AS n FROM q GROUP BY ALL),
+g AS (SELECT x.i, y.t - x.t AS gap FROM f x JOIN f y ON x.site = y.site AND x.i = y.i AND y.t - x.t > 60000 * 0.33 / (60000 / 1800000.0) AND y.t - x.t < 60000 * 1.67 / (60000 / 1800000.0)),
+h0 AS (SELECT i, min(gap) AS low, max(gap) AS high, CAST(1 + floor((max(gap) - min(gap)) / 120000.0) AS BIGINT) AS bins FROM g GROUP BY ALL),
+h AS (SELECT i, low, high, bins, least(CAST(floor(coalesce((gap - low) * bins / NULLIF(CAST(high - low AS DOUBLE), 0), 0)) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM g JOIN h0 USING (i) GROUP BY ALL),
+m AS (SELECT i, CAST(arg_max(floor(low + (bin + 0.5) * ((high - low) / CAST(bins AS DOUBLE))), n * 1000000 - bin) AS BIGINT) AS mode, sum(n) AS n FROM h GROUP BY ALL),
+k AS (SELECT site, i, CASE WHEN c > 2 AND m.n > 2 THEN m.mode ELSE 0 END AS pi FROM (SELECT site, i, count(*) AS c FROM r GROUP BY ALL) LEFT JOIN m USING (i)),
+q AS (SELECT f.*, pi, t // 60000 * 60000 AS own FROM f JOIN k USING (site, i)), occ AS (SELECT site, i, own AS bin, count(*) AS n FROM q GROUP BY ALL),
 pr AS (SELECT DISTINCT site, i, id, own, (t + k * pi) // 60000 * 60000 AS bin FROM (SELECT *, unnest(range(1 - 7200000 // pi, 7200000 // pi)) AS k FROM q WHERE pi > 0 AND pi <= 7200000)), hit AS (SELECT pr.site, pr.i, id, count(*) AS hits FROM pr JOIN occ ON occ.site = pr.site AND occ.i = pr.i AND occ.bin = pr.bin GROUP BY ALL),
-sc AS (SELECT q.id, q.site, q.i, CASE WHEN pi = 0 THEN 0 WHEN occ.n > 1 THEN 0 WHEN pi > 7200000 THEN -1 ELSE coalesce(hits, 0) - 1 END AS score, CASE WHEN pi > 0 THEN 14400000 // pi ELSE 0 END AS theoretical_score FROM q JOIN occ ON occ.site = q.site AND occ.i = q.i AND occ.bin = q.own LEFT JOIN hit ON hit.site = q.site AND hit.i = q.i AND hit.id = q.id WHERE q.core
-UNION ALL SELECT id, site, i, CASE WHEN flagged THEN -1 ELSE -2 END, 0 FROM r WHERE core AND (flagged OR burst))
-SELECT id, site, i AS interval, CAST(score AS BIGINT) AS score, CAST(theoretical_score AS BIGINT) AS theoretical_score, CAST(max(score) OVER (PARTITION BY site, i) AS BIGINT) AS max_score FROM sc"""
+sc AS (SELECT q.id, q.site, q.i, q.core, pi, CASE WHEN pi = 0 THEN 0 WHEN occ.n > 1 THEN 0 WHEN pi > 7200000 THEN -1 ELSE coalesce(hits, 0) - 1 END AS score FROM q JOIN occ ON occ.site = q.site AND occ.i = q.i AND occ.bin = q.own LEFT JOIN hit ON hit.site = q.site AND hit.i = q.i AND hit.id = q.id
+UNION ALL SELECT id, site, i, core, pi, CASE WHEN flagged THEN -1 ELSE -2 END FROM r JOIN k USING (site, i) WHERE flagged OR burst),
+z AS (SELECT *, CASE WHEN pi > 0 THEN max(score) OVER (PARTITION BY site, i) ELSE 0 END AS top FROM sc)
+SELECT id, site, i AS interval, CAST(score AS BIGINT) AS score, CAST(CASE WHEN pi > 0 THEN 14400000 // pi ELSE 0 END AS BIGINT) AS theoretical_score, CAST(top AS BIGINT) AS max_score FROM z WHERE core"""
 
 
 @query(_SCORE)
@@ -78,9 +80,12 @@ def simulated(spark, n: int = 3, seconds: int = 120, noise: float = 0.0):
 
 @query()
 def d_position(spark, sf):
-    sites, vectors, pulses = simulated(spark)
-    sums = position.bearings(pulses, direction.packed_steering(vectors), Positioning(coarse_m=25.0, fine_m=5.0))
-    return position.positions(sums, sites, 500.0, Positioning(coarse_m=25.0, fine_m=5.0))
+    """Positions from the channels of all ``embeddings`` as pulses of three sites, one a second, on the usual grids."""
+    sites, vectors, _ = simulated(spark, seconds=2)
+    e = table(spark, sf, "embeddings")
+    pulses = e.select(F.lit(0).alias("deployment"), (F.col("vec_id") % 3).cast("int").alias("site"), F.col("vec_id").alias("t"), *[F.col("embedding")[i].cast("double").alias(f"ed{i // 2 + 1}{'ri'[i % 2]}") for i in range(8)])
+    sums = position.bearings(pulses, direction.packed_steering(vectors), Positioning())
+    return position.positions(sums, sites, 500.0, Positioning())
 
 
 def _fixes(spark, sf):
@@ -95,30 +100,21 @@ def d_track(spark, sf):
     return track.tracks(e, targets)
 
 
-@query("""WITH e AS (SELECT event_type AS d, event_id AS id, epoch_us(ts) / 1e6 AS t, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events WHERE event_id < 2000)
+@query("""WITH e AS (SELECT event_type AS d, event_id AS id, epoch_us(ts) / 1e6 AS t, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events)
 SELECT a.d AS deployment, a.id AS a, b.id AS b FROM e a JOIN e b ON a.d = b.d AND a.t < b.t AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / (b.t - a.t) < greatest(0.001, 0.01 + (0.004 - 0.01) * (b.t - a.t - 60) / 1740.0) AND b.t - a.t < 90000""")
 def d_feasible_edges(spark, sf):
     e, _ = _fixes(spark, sf)
-    rows = e.where("id < 2000").withColumns({"family": F.lit("linear"), "burst": F.lit(0.01), "sustained": F.lit(0.004), "speed_limit": F.lit(0.001)})
+    rows = e.withColumns({"family": F.lit("linear"), "burst": F.lit(0.01), "sustained": F.lit(0.004), "speed_limit": F.lit(0.001)})
     return track.feasible_edges(rows, ["deployment"], 90_000).select("deployment", "a", "b")
 
 
 @query()
 def r_detector(spark, sf):
     """Pulses in the event values of each type, taken as one stream in order of id; the batch form of the streaming operator."""
-    from fixwave.session import reach_workers
-    from fixwave.streaming.detector import State
+    from fixwave.streaming.detector import detect_ordered
 
-    reach_workers(spark)
-    cfg = Detector(pulse_width=8, rise=1.4, time_constant=500, confirmation=4)
-
-    def run(key, pdf):
-        import pandas as pd
-
-        found = State(cfg).step(pdf.sort_values("event_id")["value"].to_numpy())
-        return pd.DataFrame([(key[0], *f) for f in found], columns=["event_type", "peak", "level", "floor", "rate"])
-
-    return table(spark, sf, "events").select("event_type", "event_id", "value").groupBy("event_type").applyInPandas(run, "event_type string, peak long, level double, floor double, rate double")
+    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
+    return detect_ordered(rows, "event_type", "event_id", "value", Detector(pulse_width=8, save_width=24, rise=1.4, time_constant=500, confirmation=4))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT max(c_custkey) + 1, 0.0 FROM customer""")

@@ -21,7 +21,7 @@ def d_band_merge(spark, sf):
 
 
 WHERE = terrain.Raster(0.0, 2400.0, 100.0, 25, 25)
-_SIGHT = """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37) % 2400 + 5.0 AS e, (c_custkey * 91) % 2400 + 5.0 AS n, 120.0 + c_custkey % 50 AS z FROM customer WHERE c_custkey % 10 = 1),
+_SIGHT = """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37) % 2400 + 5.0 AS e, (c_custkey * 91) % 2400 + 5.0 AS n, 120.0 + c_custkey % 50 AS z FROM customer),
 r AS (SELECT a.n_nationkey AS row, b.n_nationkey AS col, (a.n_nationkey * 7 + b.n_nationkey * 11) % 13 * 12.0 AS z FROM nation a CROSS JOIN nation b),
 q AS (SELECT *, sqrt((e - 1200) ** 2 + (n - 1200) ** 2) AS d FROM p), s AS (SELECT *, unnest(range(1, greatest(CAST(ceil(d / 50.0) AS BIGINT), 1))) * 50.0 AS s FROM q),
 h AS (SELECT s.id, max(degrees(atan2(r.z - 150.0, s.s))) AS a FROM s JOIN r ON r.row = greatest(0, least(24, CAST(round((2400.0 - (1200 + (n - 1200) * s / d)) / 100.0) AS INT))) AND r.col = greatest(0, least(24, CAST(round((1200 + (e - 1200) * s / d) / 100.0) AS INT))) GROUP BY s.id)
@@ -34,7 +34,7 @@ def d_line_of_sight(spark, sf):
     a, b = keys.withColumnRenamed("n_nationkey", "row"), keys.withColumnRenamed("n_nationkey", "col")
     raster = a.crossJoin(F.broadcast(b)).withColumn("elevation", ((F.col("row") * 7 + F.col("col") * 11) % 13) * 12.0).select(F.col("row").cast("int"), F.col("col").cast("int"), "elevation")
     c = F.col("c_custkey")
-    points = table(spark, sf, "customer").where("c_custkey % 10 = 1").select(c.alias("id"), ((c * 37) % 2400 + 5.0).alias("easting"), ((c * 91) % 2400 + 5.0).alias("northing"), (120.0 + c % 50).alias("elevation"))
+    points = table(spark, sf, "customer").select(c.alias("id"), ((c * 37) % 2400 + 5.0).alias("easting"), ((c * 91) % 2400 + 5.0).alias("northing"), (120.0 + c % 50).alias("elevation"))
     out = terrain.line_of_sight(points, "id", raster, WHERE, (1200.0, 1200.0, 150.0), 50.0)
     return out.select("id", F.round("distance", 4).alias("distance"), F.round("angle", 6).alias("angle"), "visible")
 
@@ -52,11 +52,11 @@ def k_publish(spark, sf):
     return rows.select("target", "deploymentID", "timestamp", "likelihood")
 
 
-@query("""WITH r AS (SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_id < 200), b AS (SELECT min(t) + 1000 AS a, min(t) + 400000 AS z FROM r),
+@query("""WITH r AS (SELECT user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS t, CAST(event_id AS VARCHAR) AS value FROM events), b AS (SELECT min(t) + 1000 AS a, min(t) + 400000 AS z FROM r),
 x AS (SELECT r.* FROM r, b WHERE t BETWEEN a AND z), f AS (SELECT u.user_id FROM (SELECT DISTINCT user_id FROM r) u LEFT JOIN x ON x.user_id = u.user_id GROUP BY u.user_id HAVING count(x.t) <= 1)
 SELECT user_id, t, value FROM x UNION ALL SELECT user_id, a, 'NULL' FROM f, b UNION ALL SELECT user_id, z, 'NULL' FROM f, b""")
 def k_plot_series(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 200").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"), "event_id")
+    e = table(spark, sf, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("t"), "event_id")
     first = e.agg(F.min("t")).first()[0]
     return exports.plot_series(e, "user_id", "t", "event_id", first + 1000, first + 400000, "UTC").select("user_id", "t", "value")
 

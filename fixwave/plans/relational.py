@@ -200,7 +200,7 @@ def a_cov2x2(spark, sf):
 
 @query("""SELECT user_id, list_sort(list(value))[CAST(least(floor(count(*) * 0.9), count(*) - 1) AS BIGINT) + 1] AS w90 FROM events GROUP BY ALL""")
 def a_order_stat(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(aggregates.order_statistic(F.col("value"), 0.9).alias("w90"))
+    return aggregates.order_statistic(table(spark, sf, "events"), ["user_id"], "value", 0.9, "w90")
 
 
 @query("""SELECT label, round(sum(CAST(embedding[1] AS DOUBLE) * embedding[3] + CAST(embedding[2] AS DOUBLE) * embedding[4]), 4) AS g12r, round(sum(CAST(embedding[2] AS DOUBLE) * embedding[3] - CAST(embedding[1] AS DOUBLE) * embedding[4]), 4) AS g12i FROM embeddings GROUP BY ALL""")
@@ -216,13 +216,13 @@ def a_density(spark, sf):
     return aggregates.density(c, "c_custkey", "x", "y", 12.0).select("c_custkey", "density")
 
 
-@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 1000000 AS t, value FROM events), b AS (SELECT event_type, min(t) AS a, max(t) AS z, greatest(100, CAST(ceil((max(t) - min(t)) / 100000.0) AS BIGINT)) AS k FROM e GROUP BY ALL),
-p AS (SELECT e.*, (t - a) / ((z - a) / CAST(k AS DOUBLE)) AS p, k FROM e JOIN b USING (event_type)),
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 1000000 AS t, value FROM events), b AS (SELECT event_type, min(t) AS a, max(t) AS z, CASE WHEN (max(t) - min(t)) / 100.0 > 20000 THEN CAST(ceil((max(t) - min(t)) / 20000.0) AS BIGINT) ELSE 100 END AS k FROM e GROUP BY ALL),
+p AS (SELECT e.*, (t - a) / least((z - a) / 100.0, 20000.0) AS p, k FROM e JOIN b USING (event_type)),
 x AS (SELECT event_type, value, CAST(floor(p) AS BIGINT) AS bin FROM p WHERE p < k UNION ALL SELECT event_type, value, CAST(floor(p) AS BIGINT) - 1 FROM p WHERE p = floor(p) AND p > 0)
-SELECT event_type, bin, round(avg(value) + 1e-7, 2) AS mean_value, count(*) AS n FROM x GROUP BY ALL""")
+SELECT event_type, bin, round(avg(value), 6) AS mean_value, count(*) AS n FROM x GROUP BY ALL""")
 def a_mean_resample(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.floor(scalar.micros(F.col("ts")) / 1000000).alias("t"), "value")
-    return aggregates.mean_resample(e, ["event_type"], "t", ["value"], 100, 100_000.0).select("event_type", "bin", F.round(F.col("mean_value") + 1e-7, 2).alias("mean_value"), "n")
+    return aggregates.mean_resample(e, ["event_type"], "t", ["value"], 100, 20_000.0).select("event_type", "bin", F.round(F.col("mean_value"), 6).alias("mean_value"), "n")
 
 
 @query("""SELECT count_if(s IS NULL) AS unscored, count_if(t = 0) AS no_interval, count_if(s < 0) AS bad, count_if(s = 0) AS zero, count_if(s > 0) AS positive FROM (SELECT CASE WHEN value > 30 THEN event_id % 5 - 1 END AS s, user_id % 3 AS t FROM events)""")

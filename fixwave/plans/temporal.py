@@ -28,9 +28,9 @@ def w_sessions(spark, sf):
     return windows.sessions(_events(spark, sf), ["event_type"], "t", 1800).select("event_type", "session", "first", "last", "n")
 
 
-@query("""SELECT event_type, CAST(epoch_us(ts) // 1000000 // 21600 * 21600 AS BIGINT) AS start, count(*) AS n, round(avg(value) + 1e-7, 3) AS avg_value FROM events GROUP BY ALL""")
+@query("""SELECT event_type, CAST(epoch_us(ts) // 1000000 // 21600 * 21600 AS BIGINT) AS start, count(*) AS n, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL""")
 def w_tumbling(spark, sf):
-    return _events(spark, sf).groupBy("event_type", windows.tumbling(F.col("t"), 21600).alias("start")).agg(F.count("*").alias("n"), F.round(F.avg("value") + 1e-7, 3).alias("avg_value"))
+    return _events(spark, sf).groupBy("event_type", windows.tumbling(F.col("t"), 21600).alias("start")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10000).cast("long")).alias("total"))
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS t, epoch_us(ts) // 1000000 // 21600 * 21600 AS s FROM events)

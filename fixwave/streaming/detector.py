@@ -1,7 +1,9 @@
 """Pulse detection on sample streams: a matched filter and a peak state machine for each site and band.
 
-Rows are chunks of samples with a sequence number. State is a few numbers and the last ``save_width`` samples, so it is
-bounded whatever the stream's length. The same function works on a whole recording at once.
+The filter is a rolling sum of ``pulse_width`` sample powers, each clipped to (2 rise - 1) / width times the noise floor; the
+floor is of rolling sums. It is seeded with the sum when ``save_width`` samples have been seen, and is averaged on while the sum
+is below the threshold, and after a pulse. State is a few numbers and the last ``pulse_width`` powers, so it is bounded whatever
+the stream's length. The same function works on a whole recording at once.
 """
 
 from __future__ import annotations
@@ -13,20 +15,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fixwave.config import Detector
 from fixwave.session import reach_workers
 
-BELOW, ABOVE, PEAK, AFTER = range(4)
+BELOW, PEAK, AFTER = range(3)
 PULSES = "peak long, level double, floor double, rate double"
 
 
+FALL = 0.9
+
+
 @dataclass
 class State:
     cfg: Detector
     state: int = BELOW
     seen: int = 0  # samples so far
-    used: int = 0  # samples in the floor
+    used: int = 0  # sums in the floor
     floor: float = 0.0
     window: deque = field(default_factory=deque)  # clipped powers of the last pulse width
     total: float = 0.0
@@ -34,37 +40,44 @@ class State:
     best_at: int = 0
     waited: int = 0
 
+    def _average(self, level: float) -> None:
+        weight = 1.0 / (self.used + 1) if self.used < self.cfg.time_constant else 1.0 / self.cfg.time_constant
+        self.used += self.used < self.cfg.time_constant
+        self.floor += weight * (level - self.floor)
+
     def step(self, power: np.ndarray) -> list[tuple[int, float, float, float]]:
         """Feed the powers of consecutive samples; returns (peak, level, floor, rate) of pulses confirmed by them."""
         cfg, out = self.cfg, []
+        clip = (2 * cfg.rise - 1) / cfg.pulse_width
         for x in power.tolist():
-            if self.used >= cfg.pulse_width:  # a strong sample alone can't lift the sum above the threshold by much
-                x = min(x, (2 * cfg.rise - 1) * self.floor * cfg.pulse_width / 2) if self.floor > 0 else x
-            self.window.append(x)
-            self.total += x
-            if len(self.window) > cfg.pulse_width:
-                self.total -= self.window.popleft()
-            level = self.total / len(self.window)
             at = self.seen
             self.seen += 1
-            full = len(self.window) == cfg.pulse_width
-            high = full and self.used >= cfg.pulse_width and level > cfg.rise * self.floor
-            if self.state == BELOW and high:
-                self.state, self.best, self.best_at, self.waited = PEAK, level, at, 0
+            filling = at < cfg.save_width
+            self.window.append(x if filling else min(x, clip * self.floor))
+            self.total += self.window[-1]
+            if len(self.window) > cfg.pulse_width:
+                self.total -= self.window.popleft()
+            level = self.total
+            if filling:
+                if self.seen == cfg.save_width:
+                    self.floor, self.used = level, cfg.pulse_width
+                continue
+            if self.state == BELOW:
+                if level > cfg.rise * self.floor:
+                    self.state, self.best, self.best_at, self.waited = PEAK, level, at, 0
+                else:
+                    self._average(level)
             elif self.state == PEAK:
+                self.waited += 1
                 if level > self.best:
                     self.best, self.best_at, self.waited = level, at, 0
-                else:
-                    self.waited += 1
-                    if self.waited >= cfg.confirmation:
-                        out.append((self.best_at, self.best, self.floor, self.best / self.floor if self.floor else float("inf")))
-                        self.state = AFTER
-            elif self.state == AFTER and level < 0.9 * cfg.rise * self.floor:
-                self.state = BELOW
-            if self.state == BELOW and not high:  # the floor stands still while something is above it
-                self.used += 1
-                weight = 1.0 / min(self.used, cfg.time_constant)
-                self.floor += weight * (x - self.floor)
+                elif self.waited >= cfg.confirmation:
+                    out.append((self.best_at, self.best, self.floor, self.best / self.floor if self.floor else float("inf")))
+                    self.state = AFTER
+            else:
+                if level < FALL * cfg.rise * self.floor:
+                    self.state = BELOW
+                self._average(level)
         return out
 
 
@@ -73,21 +86,51 @@ def detect(samples: np.ndarray, cfg: Detector = Detector()) -> list[tuple[int, f
     return State(cfg).step((np.abs(samples) ** 2).sum(axis=1))
 
 
-def detect_stream(chunks: DataFrame, cfg: Detector = Detector()) -> DataFrame:
+def detect_ordered(rows: DataFrame, key: str, order: str, power: str, cfg: Detector = Detector()) -> DataFrame:
+    """(key, peak, level, floor, rate): pulses of each key's samples taken in order, a batch of rows at a time."""
+    reach_workers(rows.sparkSession)
+    sorted_ = rows.select(key, order, power).where(F.col(power).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+
+    def run(frames):
+        machine, now = None, None
+        for pdf in frames:
+            found = []
+            for k, part in pdf.groupby(key, sort=False, dropna=False):
+                if machine is None or k != now:
+                    machine, now = State(cfg), k
+                found += [(k, *f) for f in machine.step(part[power].to_numpy(float))]
+            yield pd.DataFrame(found, columns=[key, "peak", "level", "floor", "rate"])
+
+    return sorted_.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {PULSES}")
+
+
+def detect_stream(chunks: DataFrame, cfg: Detector = Detector(), patience: int = 64) -> DataFrame:
     """Pulses of streams keyed by (site, band) from rows (site, band, seq, power: array of summed channel powers).
 
-    Chunks that come before their predecessors wait in the state until these are there.
+    Chunks that come before their predecessors wait in the state until these are there; if more than ``patience`` wait, the
+    missing ones are taken for lost, and detection starts anew behind the gap.
     """
     reach_workers(chunks.sparkSession)
 
     def run(key, frames, state):
         machine, due, waiting = pickle.loads(state.get[0]) if state.exists else (State(cfg), 0, {})
-        for pdf in frames:
-            waiting |= {int(s): np.asarray(p, float) for s, p in zip(pdf["seq"], pdf["power"]) if int(s) >= due}
         found = []
-        while due in waiting:
-            found += machine.step(waiting.pop(due))
-            due += 1
+
+        def feed():
+            nonlocal machine, due
+            while due in waiting:
+                found.extend(machine.step(waiting.pop(due)))
+                due += 1
+
+        for pdf in frames:
+            for s, p in zip(pdf["seq"], pdf["power"]):
+                if int(s) >= due:
+                    waiting[int(s)] = np.asarray(p, float)
+                feed()
+                if len(waiting) > patience:
+                    due = min(waiting)
+                    machine = State(cfg, seen=0)
+                    feed()
         state.update((pickle.dumps((machine, due, waiting)),))
         yield pd.DataFrame([(*key, *p) for p in found], columns=["site", "band", "peak", "level", "floor", "rate"])
 

@@ -287,3 +287,69 @@ def test_configuration_is_frozen():
     with pytest.raises(Exception):  # noqa: B017
         Scoring().interval_ms = 1
     assert windows.resolved(start=1, width=2) == (1, 3) and windows.shifted(0, 5, -1) == (-5, 0)
+
+
+def plain_detector(power, cfg):
+    """The detector's table of states, one sample at a time, with sums taken anew each time."""
+    clipped, out, state, floor, used = [], [], "below", 0.0, 0
+    for at, x in enumerate(power.tolist()):
+        if at < cfg.save_width:
+            clipped.append(x)
+            if at == cfg.save_width - 1:
+                floor, used = sum(clipped[-cfg.pulse_width :]), cfg.pulse_width
+            continue
+        clipped.append(min(x, (2 * cfg.rise - 1) / cfg.pulse_width * floor))
+        level, average = sum(clipped[-cfg.pulse_width :]), False
+        if state == "below":
+            if level > cfg.rise * floor:
+                state, best, where = "peak", level, at
+            else:
+                average = True
+        elif state in ("peak", "above"):
+            count = 0 if state == "peak" else count
+            state, count = "above", count + 1
+            if level > best:
+                state, best, where = "peak", level, at
+            elif count >= cfg.confirmation:
+                state = "trigger"
+                out.append((where, best, floor))
+        else:
+            state = "below" if level < 0.9 * cfg.rise * floor else "post"
+            average = True
+        if average:
+            if used < cfg.time_constant:
+                floor = floor * used / (used + 1.0) + level / (used + 1.0)
+                used += 1
+            else:
+                floor += (level - floor) / cfg.time_constant
+    return out
+
+
+def test_detector_equals_a_plain_state_table(spark):
+    rng = np.random.default_rng(12)
+    cfg = Detector(pulse_width=8, save_width=24, rise=1.3, time_constant=60, confirmation=4)
+    power = rng.exponential(size=4000)
+    for at in range(200, 3900, 370):
+        power[at : at + 8] += 6
+    power[1111] = 1e6  # one strong sample is clipped to a share of the floor
+    got, want = detector.State(cfg).step(power), plain_detector(power, cfg)
+    assert [g[0] for g in got] == [w[0] for w in want] and len(got) > 5
+    np.testing.assert_allclose([g[1:3] for g in got], [w[1:] for w in want], rtol=1e-9)
+    rows = spark.createDataFrame([(k, i, float(p)) for k in ("a", None) for i, p in enumerate(power)], "k string, i long, p double").repartition(3)
+    found = detector.detect_ordered(rows, "k", "i", "p", cfg).collect()
+    assert {k: sorted(r["peak"] for r in found if r["k"] == k) for k in ("a", None)} == dict.fromkeys(("a", None), [w[0] for w in want])
+
+
+def test_model_fit_takes_off_phase_offsets(spark):
+    rng = np.random.default_rng(5)
+    angle = np.radians(np.arange(360))
+    pattern = np.exp(1j * np.stack([1.3 * np.cos(angle), 2.1 * np.sin(angle), -0.7 * np.cos(angle + 0.4), 1.9 * np.sin(angle - 1)], axis=1)) / 2
+    names = [f"{c}{p}" for c in range(1, 5) for p in "ri"]
+    flat = lambda v: [float(x) for z in v for x in (z.real, z.imag)]
+    model = spark.createDataFrame([(b, *flat(pattern[b])) for b in range(360)], "bearing int, " + ", ".join(f"m{x} double" for x in names))
+    orders, offsets = [(1, 2, 3, 4), (1, 3, 4, 2), (1, 4, 3, 2)], np.array([0, 0.8, -1.1, 2.0])
+    real = np.roll(pattern[:, [0, 2, 3, 1]], 77, axis=0) * np.exp(-1j * offsets) + 0.005 * (rng.normal(size=(360, 4)) + 1j * rng.normal(size=(360, 4)))
+    measured = spark.createDataFrame([(9, b, *flat(real[b])) for b in range(0, 360, 2)], "site int, bearing int, " + ", ".join(f"sv{x} double" for x in names))
+    got = direction.fit_model(model, measured, orders).collect()
+    assert len(got) == 1 and (got[0]["order"], got[0]["turn"]) == (1, 77) and got[0]["score"] < 0.01
+    np.testing.assert_allclose(np.exp(1j * np.array(got[0]["offsets"])), np.exp(1j * offsets[1:]), atol=0.02)
