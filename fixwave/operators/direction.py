@@ -126,6 +126,21 @@ def calibrate(samples: DataFrame, span: int = 5, least: int = 1) -> DataFrame:
     return top_vectors(grams.where(F.col("n") >= least), ["site", "degree", "n"]).withColumnRenamed("degree", "bearing")
 
 
+def wedge_calibration(samples: DataFrame, wedge: float, least: int = 11) -> DataFrame:
+    """As ``calibrate``, of samples strictly within half a wedge of each whole degree, around the circle, from ``least`` up.
+
+    The vector that fits all samples of a wedge best is the top eigenvector of their Gram matrix.
+    """
+    half = F.lit(wedge / 2.0)
+    low, high = F.floor(F.col("bearing") - half).cast("int") + 1, F.ceil(F.col("bearing") + half).cast("int") - 1
+    degrees = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    re, im = in_phase([F.col(f"ed{c}r") for c in CHANNELS], [F.col(f"ed{c}i") for c in CHANNELS])
+    rows = samples.select("site", F.explode(degrees).alias("d"), *[x.alias(f"x{c}r") for c, x in zip(CHANNELS, re)], *[x.alias(f"x{c}i") for c, x in zip(CHANNELS, im)])
+    rows = rows.withColumn("bearing", F.pmod("d", F.lit(360)))
+    grams = rows.groupBy("site", "bearing").agg(F.count("*").alias("n"), *gram_matrix([F.col(f"x{c}r") for c in CHANNELS], [F.col(f"x{c}i") for c in CHANNELS]))
+    return top_vectors(grams.where(F.col("n") >= least), ["site", "bearing", "n"])
+
+
 def verified(samples: DataFrame, steering: DataFrame) -> DataFrame:
     """Each sample's bearing by the vectors against its own, and the error around the circle."""
     found = spectra(samples, packed_steering(steering)).withColumn("found", argmax(F.col("spectrum")))

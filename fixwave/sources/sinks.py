@@ -94,6 +94,15 @@ def kml_track(df: DataFrame, by: str, at: str, lon: str, lat: str) -> DataFrame:
     return rows.select(by, F.concat(F.lit("<Placemark><name>"), _escaped(F.col(by).cast("string")), F.lit("</name><gx:Track>"), text("w"), text("c"), F.lit("</gx:Track></Placemark>")).alias("kml"))
 
 
+def kml_cloud(df: DataFrame, by: str, key: str, lon: str, lat: str, size: int = 1000) -> DataFrame:
+    """(by, part, kml): each group's points as geometries of about ``size`` points, dealt by ``key``, so that no group is gathered whole."""
+    many = df.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("__n"))
+    rows = df.join(many, by).withColumn("part", F.pmod(F.xxhash64(key), F.col("__n").cast("long")).cast("int"))
+    point = F.format_string("<Point><coordinates>%.6f,%.6f,0</coordinates></Point>", F.col(lon).cast("double"), F.col(lat).cast("double"))
+    text = F.array_join(F.sort_array(F.collect_list(point)), "")
+    return rows.groupBy(by, "part").agg(F.concat(F.lit("<Placemark><name>"), _escaped(F.col(by).cast("string")), F.lit("</name><MultiGeometry>"), text, F.lit("</MultiGeometry></Placemark>")).alias("kml"))
+
+
 def kml_document(parts: DataFrame, column: str, path: str, order: list[str]) -> None:
     """Write placemarks as text files that together, in order of name, are one KML document."""
     spark: SparkSession = parts.sparkSession

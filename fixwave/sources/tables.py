@@ -97,3 +97,57 @@ def typed_parameters(eav: DataFrame, key: str = "txID") -> DataFrame:
     """band3, band10, pulse_rate and pulse_width of each transmitter; a blank limit is none."""
     wide = eav.groupBy(key).pivot("name", ["band3", "band10", "pulse_rate", "pulse_width"]).agg(F.max(blank_to_null(F.col("value"))))
     return wide.select(key, F.col("band3").cast("int"), F.col("band10").cast("int"), F.col("pulse_rate").cast("double"), F.col("pulse_width").cast("double"))
+
+
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+
+
+def complex_parts(text: Column) -> tuple[Column, Column]:
+    """Real and imaginary part of a complex literal like ``(0.1-2e-05j)``; a part that isn't there is 0."""
+    bare = F.regexp_replace(text, r"[()\s]", "")
+    part = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(bare, pattern, 1), F.lit("")).cast("double"), F.lit(0.0))
+    return part(f"^({_NUMBER})(?:$|[+-])"), part(f"({_NUMBER})j$")
+
+
+def _with_complex(rows: DataFrame, plain: list[tuple[str, str]], names: list[str], delimiter: str) -> DataFrame:
+    parts = F.split("value", F.lit("\\" + delimiter))
+    cols = [F.trim(parts[k]).cast(kind).alias(c) for k, (c, kind) in enumerate(plain)]
+    for k, name in enumerate(names, len(plain)):
+        re, im = complex_parts(parts[k])
+        cols += [re.alias(f"{name}r"), im.alias(f"{name}i")]
+    return rows.select(*[c for c in ("siteID",) if c in rows.columns], *cols)
+
+
+def _body(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where(F.col("value").rlike(r"^\s*[0-9]"))  # not the header
+
+
+def read_signal_files(spark: SparkSession, paths: dict[int, str], delimiter: str = ",") -> DataFrame:
+    """Signals of some sites' files: id, t, edsp, tnp, then four channels and the 4 x 4 noise covariance as complex literals."""
+    names = [f"ed{c}" for c in range(1, 5)] + [f"nc{a}{b}" for a in range(1, 5) for b in range(1, 5)]
+    rows = None
+    for site, path in paths.items():
+        one = _body(spark, path).withColumn("siteID", F.lit(site).cast("long"))
+        rows = one if rows is None else rows.unionByName(one)
+    return _with_complex(rows, [("ID", "long"), ("timestamp", "double"), ("edsp", "double"), ("tnp", "double")], names, delimiter)
+
+
+def read_steering_file(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """Steering vectors of a file: site, id, bearing, then four channels as complex literals."""
+    return _with_complex(_body(spark, path), [("siteID", "long"), ("ID", "long"), ("bearing", "double")], [f"sv{c}" for c in range(1, 5)], delimiter)
+
+
+#: Detector of each type of transmitter, and what marks a transmitter as used.
+DETECTORS = {"pulse": "pulse", "continuous": "continuous", "other": "continuous"}
+USED = ["Y", "y", "yes", "Yes", "YES"]
+
+
+def transmitters(rows: DataFrame) -> DataFrame:
+    """A transmitter table as text with its types: used rows only if it says so; a type that isn't known is an error."""
+    if "use" in rows.columns:
+        rows = rows.where(F.col("use").isin(USED))
+    kind = F.raise_error(F.concat(F.lit("no detector for "), F.coalesce("type", F.lit("null")))).cast("string")
+    for k, v in DETECTORS.items():
+        kind = F.when(F.lower("type") == k, v).otherwise(kind)
+    numbers = ["frequency", "pulse_width", "rise_trigger", "time_constant" if "time_constant" in rows.columns else "filter_alpha"]
+    return rows.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "type": kind})
