@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from fixwave.operators import pieces
 
 #: A dimension that was checked to be at most this many rows may be broadcast.
 SMALL_ROWS = 100_000
@@ -24,17 +25,16 @@ def lookup(facts: DataFrame, names: DataFrame, on: str, key: str) -> tuple[DataF
 def asof_linear(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
     """Each left row with ``values`` of right interpolated linearly at its time; rows outside right's range are dropped.
 
-    One pass: both sides are put in one order, the last point before and the next after are carried along. Where right has
-    several points of one time, the last by value stands.
+    Both sides are put in one order, in ranges; the last point before and the next after are carried along and over the edges
+    of ranges, so that no group is one task's. Where right has several points of one time, the last by value stands.
     """
     points = right.groupBy(*by, at).agg(F.max(F.struct(*values)).alias("__p")).select(*by, at, F.struct(F.col(at).alias("t"), "__p.*").alias("__p"))
     rows = left.withColumn("__row", F.struct(*[F.col(c) for c in left.columns]))
     both = rows.select(*by, at, "__row", F.lit(None).cast(points.schema["__p"].dataType).alias("__p"))
     both = both.unionByName(points.select(*by, at, F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "__p"))
-    order = Window.partitionBy(*by).orderBy(at)  # a range frame: points of the row's own time count on both sides
-    both = both.withColumn("__a", F.last("__p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(*by).orderBy(F.col(at).desc())  # the next point is the last one of the reversed order: a growing frame takes each row once
-    both = both.withColumn("__b", F.last("__p", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
+    both = pieces.split(both, [*by, at])  # points of the row's own time count on both sides
+    both = pieces.nearest(both, by, at, "__p", "__a")
+    both = pieces.nearest(both, by, at, "__p", "__b", back=True)
     both = both.where("__row is not null and __a is not null and __b is not null")
     share = F.coalesce(F.try_divide(F.col(at) - F.col("__a.t"), F.col("__b.t") - F.col("__a.t")), F.lit(0.0))
     return both.select("__row.*", *[(F.col(f"__a.{v}") + share * (F.col(f"__b.{v}") - F.col(f"__a.{v}"))).alias(v) for v in values])

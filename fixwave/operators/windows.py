@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fixwave.operators import pieces
+from fixwave.operators.joins import small
+
 
 def best_per_time(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
     """Of rows of one group and time, the one of the greatest value; the least ``tie`` among equals."""
@@ -15,9 +18,9 @@ def best_per_time(df: DataFrame, by: list[str], value: str, tie: str) -> DataFra
 
 def sessions(df: DataFrame, by: list[str], at: str, margin) -> DataFrame:
     """(first, last, n) of runs of rows; a gap of twice the margin, or more, begins a new run. Runs are widened by the margin."""
-    order = Window.partitionBy(*by).orderBy(at)
-    new = F.coalesce((F.col(at) - F.lag(at).over(order) >= 2 * margin).cast("int"), F.lit(1))
-    rows = df.select(*by, at, new.alias("__new")).withColumn("session", F.sum("__new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    rows = pieces.previous(pieces.split(df.select(*by, at), [*by, at]), by, [at], [at], "__before")
+    new = F.coalesce((F.col(at) - F.col(f"__before.{at}") >= 2 * margin).cast("int"), F.lit(1))
+    rows = pieces.running_sum(rows.withColumn("__new", new).drop("__before"), by, [at], "__new", "session")
     runs = rows.groupBy(*by, "session").agg((F.min(at) - margin).alias("first"), (F.max(at) + margin).alias("last"), F.count("*").alias("n"))
     return runs
 
@@ -45,10 +48,10 @@ def row_windows(df: DataFrame, by: list[str], at: str, size: int, overlap: int,
 
     Windows begin at multiples of size - overlap; the last begins early enough to be full, so it may share more.
     """
-    order = Window.partitionBy(*by).orderBy(at, tie)
-    total = F.count("*").over(Window.partitionBy(*by))
     step = size - overlap
-    rows = df.withColumn("__i", F.row_number().over(order) - 1).withColumn("__m", total)
+    total = df.groupBy(*by).agg(F.count("*").alias("__m"))
+    rows = pieces.numbered(df, by, [*by, at, tie]).drop(pieces.PIECE)
+    rows = rows.join(small(total), by)
     final = F.greatest(F.lit(0), F.ceil((F.col("__m") - size) / step))
     low = F.greatest(F.lit(0), F.ceil((F.col("__i") - size + 1) / step))
     high = F.least(F.floor(F.col("__i") / step), final)
@@ -60,12 +63,14 @@ def row_windows(df: DataFrame, by: list[str], at: str, size: int, overlap: int,
 
 def movement(df: DataFrame, by: list[str], at: str, x: str, y: str, tie: str) -> DataFrame:
     """Speed since the last point, and acceleration between the middles of neighbouring legs."""
-    order = Window.partitionBy(*by).orderBy(at, tie)
-    dt = F.col(at) - F.lag(at).over(order)
-    step = F.hypot(F.col(x) - F.lag(x).over(order), F.col(y) - F.lag(y).over(order))
-    rows = df.withColumn("speed", F.try_divide(step, dt)).withColumn("__mid", F.col(at) - dt / 2)
-    gap = F.col("__mid") - F.lag("__mid").over(order)
-    return rows.withColumn("acceleration", F.try_divide(F.col("speed") - F.lag("speed").over(order), gap)).drop("__mid")
+    order = [at, tie]
+    rows = pieces.previous(pieces.split(df, [*by, *order]), by, order, [at, x, y], "__a")
+    dt = F.col(at) - F.col(f"__a.{at}")
+    step = F.hypot(F.col(x) - F.col(f"__a.{x}"), F.col(y) - F.col(f"__a.{y}"))
+    rows = rows.withColumn("speed", F.try_divide(step, dt)).withColumn("__mid", F.col(at) - dt / 2).drop("__a")
+    rows = pieces.previous(rows, by, order, ["speed", "__mid"], "__b")
+    change = F.try_divide(F.col("speed") - F.col("__b.speed"), F.col("__mid") - F.col("__b.__mid"))
+    return rows.withColumn("acceleration", change).drop("__mid", "__b", pieces.PIECE)
 
 
 def ends(df: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
@@ -80,8 +85,10 @@ def id_gaps(df: DataFrame, by: list[str], key: str) -> DataFrame:
 
 def ahead(df: DataFrame, by: list[str], at: str, seconds) -> DataFrame:
     """For each row, how many rows of its group come within ``seconds`` after it (itself included)."""
-    order = Window.partitionBy(*by).orderBy(at).rangeBetween(0, seconds)
-    return df.withColumn("n_ahead", F.count("*").over(order))
+    bucket = F.floor(F.col(at) / F.lit(seconds))
+    rows = df.withColumn("__b", F.explode(F.array(bucket, bucket - 1)))  # a row also counts for those of the bucket before
+    frame = Window.partitionBy(*by, "__b").orderBy(at).rangeBetween(0, seconds)
+    return rows.withColumn("n_ahead", F.count("*").over(frame)).where(F.col("__b") == bucket).drop("__b")
 
 
 def shifted(start: float, end: float, by: int) -> tuple[float, float]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fixwave.operators import pieces
+
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new``, and those of ``base`` whose key isn't in it. A repeated batch changes nothing."""
@@ -26,14 +28,8 @@ def overwrite_days(df: DataFrame, path: str, at: str, by: list[str]) -> None:
 
 
 def assign_ids(df: DataFrame, key: str, after: int, order: list[str]) -> DataFrame:
-    """Ids that follow ``after`` in the stated order, without one task for all rows: ranges first, numbers within them second.
-
-    Each range's number of rows is counted, then added up over ranges (as many as shuffle partitions).
-    """
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("__p", "__before")), "__p").withColumn(key, F.col("__before") + F.col("__i") + after).drop("__p", "__i", "__before")
+    """Ids that follow ``after`` in the stated order, without one task for all rows: by ranges of it, whose bounds are fixed."""
+    return pieces.numbered(df, [], order, key).withColumn(key, F.col(key) + 1 + after).drop(pieces.PIECE)
 
 
 def provenance(df: DataFrame, table: str, key: str, of: str, dependencies: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from fixwave.operators import access, direction
+from fixwave.operators import access, direction, pieces, windows
 from fixwave.sources import inserts, sinks, tables
 
 
@@ -107,3 +107,47 @@ def test_wedges_are_open_and_round(spark):
     assert {b: r.n for b, r in got.items()} == {358: 1, 359: 3, 0: 3, 1: 4, 2: 3, 3: 1}  # 2.0 is not within 2 of 0 or 4, both ends open
     assert np.allclose([complex(got[1][f"sv{c}r"], got[1][f"sv{c}i"]) for c in range(1, 5)], v, atol=1e-9)
     assert direction.wedge_calibration(df, 4.0).count() == 0
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 300])
+def test_pieces_keep_the_order_of_keys(spark, wanted):
+    rng = np.random.default_rng(wanted)
+    values = [(None if k % 50 == 0 else "xyz"[int(rng.integers(3))], float("nan") if k % 60 == 0 else float(rng.integers(40)), k) for k in range(500)]
+    df = spark.createDataFrame(values, "g string, v double, k int").repartition(5)
+    got = pieces.split(df, ["g", "v"], wanted).orderBy("g", "v").collect()
+    place = [r["__piece"] for r in got]
+    assert place == sorted(place) and (len(set(place)) > 3) == (wanted > 1)
+    assert len({(r.g, str(r.v)) for r in got}) == len({(r.g, str(r.v), r["__piece"]) for r in got})  # equal keys share a piece
+
+
+def test_numbers_neighbours_and_sums_cross_pieces(spark):
+    rng = np.random.default_rng(1)
+    data = [(None if k % 3 == 0 else "a", int(t), k) for k, t in enumerate(rng.permutation(400))]
+    df = spark.createDataFrame(data, "g string, t int, k int").repartition(6)
+    rows = pieces.split(df, ["g", "t"], 40)
+    rows = pieces.running_sum(pieces.previous(rows, ["g"], ["t"], ["k"], "before"), ["g"], ["t"], "k", "upto")
+    rows = rows.withColumn("some", F.expr("case when k % 11 = 0 then k end"))
+    rows = pieces.nearest(pieces.nearest(rows, ["g"], "t", "some", "a"), ["g"], "t", "some", "b", back=True)
+    number = {r.k: r["__i"] for r in pieces.numbered(df, ["g"], ["t"]).collect()}
+    got = {r.k: r for r in rows.collect()}
+    assert len(got) == len(number) == 400
+    for g in (None, "a"):
+        own = sorted((t, k) for x, t, k in data if x == g)
+        total = 0
+        for i, (t, k) in enumerate(own):
+            total += k
+            before, after = [q for _, q in own[: i + 1] if q % 11 == 0], [q for _, q in own[i:] if q % 11 == 0]
+            r = got[k]
+            assert (number[k], r.upto) == (i, total) and (r.before.k if r.before else None) == (own[i - 1][1] if i else None)
+            assert (r.a, r.b) == (before[-1] if before else None, after[0] if after else None)
+
+
+def test_ordered_operators_take_empty_tables_and_one_time(spark):
+    none = spark.createDataFrame([], "g string, t long, x double, y double, id long")
+    same = spark.createDataFrame([("a", 5, 1.0, 2.0, k) for k in range(20)], none.schema)
+    for df, n in ((none, 0), (same, 20)):
+        assert windows.sessions(df, ["g"], "t", 5).count() == min(n, 1)
+        assert windows.movement(df, ["g"], "t", "x", "y", "id").count() == n
+        assert windows.row_windows(df, ["g"], "t", 8, 2, "id").select("id").distinct().count() == n
+        assert sorted(r.ID for r in sinks.assign_ids(df, "ID", 9, ["t", "id"]).collect()) == list(range(10, 10 + n))
+        assert [r.n_ahead for r in windows.ahead(df, ["g"], "t", 3).collect()] == [n] * n
