@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SAMPLE = 8192
@@ -17,25 +16,25 @@ PIECE = "__piece"
 
 
 def split(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
-    """``df`` with ``__piece``, the number of the range that holds its (order) key: as many as shuffle partitions, 1024 at most.
+    """``df`` with ``__piece``, the number of the range that holds its (order) key: as many as shuffle partitions, 256 at most.
 
     Null keys come first and NaN last, as in Spark's ascending order.
     """
     spark = df.sparkSession
-    pieces = min(1024, pieces or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = min(256, pieces or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = sorted(df.select(*order, F.rand(0).alias("__r")).orderBy("__r").limit(SAMPLE).drop("__r").collect(), key=lambda r: [(v is not None, v != v, v) for v in r])
     bounds = list(dict.fromkeys(tuple(keys[len(keys) * k // pieces]) for k in range(1, pieces))) if keys else []
     if not bounds:
         return df.withColumn(PIECE, F.lit(0))
-    kind = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(order)])
-    table = spark.createDataFrame([(bounds,)], T.StructType([T.StructField("__bounds", T.ArrayType(kind))]))
+    kinds = {c: df.schema[c].dataType for c in order}
+    bound = lambda k: F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(k, kinds.items())])
     step = max(1, int(len(bounds) ** 0.5))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    coarse = F.size(F.filter("__coarse", lambda b: b < F.col("__key"))) * step
-    fine = F.size(F.filter(F.slice("__bounds", coarse + 1, F.lit(step)), lambda b: b < F.col("__key")))
-    table = table.withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == step - 1))
-    rows = df.crossJoin(F.broadcast(table)).withColumn("__key", key)  # one row
-    return rows.withColumn(PIECE, coarse + fine).drop("__key", "__bounds", "__coarse")
+    key = F.struct(*order)
+    below = lambda part: F.size(F.filter(part, lambda b: b < key))  # noqa: E731  arrays of constants, folded to one each
+    coarse = below(F.array(*[bound(k) for k in bounds[step - 1 :: step]])) * step
+    rows = df.withColumn("__coarse", coarse)
+    fine = below(F.slice(F.array(*map(bound, bounds)), F.col("__coarse") + 1, F.lit(step)))
+    return rows.withColumn(PIECE, F.col("__coarse") + fine).drop("__coarse")
 
 
 def _carried(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
