@@ -33,8 +33,7 @@ def asof_linear(left: DataFrame, right: DataFrame, by: list[str], at: str, value
     both = rows.select(*by, at, "__row", F.lit(None).cast(points.schema["__p"].dataType).alias("__p"))
     both = both.unionByName(points.select(*by, at, F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), "__p"))
     both = pieces.split(both, [*by, at])  # points of the row's own time count on both sides
-    both = pieces.nearest(both, by, at, "__p", "__a")
-    both = pieces.nearest(both, by, at, "__p", "__b", back=True)
+    both = pieces.around(both, by, at, "__p", "__a", "__b")
     both = both.where("__row is not null and __a is not null and __b is not null")
     share = F.coalesce(F.try_divide(F.col(at) - F.col("__a.t"), F.col("__b.t") - F.col("__a.t")), F.lit(0.0))
     return both.select("__row.*", *[(F.col(f"__a.{v}") + share * (F.col(f"__b.{v}") - F.col(f"__a.{v}"))).alias(v) for v in values])

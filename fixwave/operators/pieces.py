@@ -51,12 +51,12 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "__i")
     return met(rows, _carried(sizes, by, before, "__before"), by).withColumn(name, F.col("__before") + number).drop("__before")
 
 
-def met(rows: DataFrame, of: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def met(rows: DataFrame, of: DataFrame, by: list[str]) -> DataFrame:
     """Rows with the columns that ``of`` has of their group and piece; a null in ``by`` is a group like others."""
     on = [*by, PIECE]
     of = of.select(*[F.col(c).alias(f"__on{k}") for k, c in enumerate(on)], *[c for c in of.columns if c not in on])
     cond = [F.col(c).eqNullSafe(F.col(f"__on{k}")) for k, c in enumerate(on)]
-    return rows.join(of, cond, how).drop(*[f"__on{k}" for k in range(len(on))])
+    return rows.join(of, cond).drop(*[f"__on{k}" for k in range(len(on))])
 
 
 def previous(rows: DataFrame, by: list[str], order: list[str], values: list[str], name: str) -> DataFrame:
@@ -76,14 +76,14 @@ def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, na
     return met(rows, _carried(total, by, before, "__before"), by).withColumn(name, F.col("__before") + within).drop("__before")
 
 
-def nearest(rows: DataFrame, by: list[str], at: str, value: str, name: str, back: bool = False) -> DataFrame:
-    """Rows (of ``split``) with the last ``value`` that isn't null at or before the row's time; ``back``: the first at or after it.
+def around(rows: DataFrame, by: list[str], at: str, value: str, before: str, after: str) -> DataFrame:
+    """Rows (of ``split``) with the last ``value`` that isn't null at or before the row's time, and the first at or after it.
 
-    Backwards is the last one of the reversed order: a growing frame takes each row once.
+    The latter is the last one of the reversed order: a growing frame takes each row once.
     """
-    sort, pick = (F.desc, F.min_by) if back else (F.asc, F.max_by)
-    edge = rows.where(F.col(value).isNotNull()).groupBy(*by, PIECE).agg(pick(value, at).alias("__v"))
-    edge = met(rows.select(*by, PIECE).distinct(), edge, by, "left")
-    beyond = F.last("__v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(sort(PIECE)).rowsBetween(Window.unboundedPreceding, -1))
-    within = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, PIECE).orderBy(sort(at)).rangeBetween(Window.unboundedPreceding, 0))
-    return met(rows, _carried(edge, by, beyond, "__far"), by).withColumn(name, F.coalesce(within, "__far")).drop("__far")
+    when = F.when(F.col(value).isNotNull(), F.col(at))
+    edge = rows.groupBy(*by, PIECE).agg(F.max_by(value, when).alias("__l"), F.min_by(value, when).alias("__f"))
+    beyond = lambda v, sort: F.last(v, ignorenulls=True).over(Window.partitionBy(*by).orderBy(sort(PIECE)).rowsBetween(Window.unboundedPreceding, -1))
+    within = lambda sort: F.last(value, ignorenulls=True).over(Window.partitionBy(*by, PIECE).orderBy(sort(at)).rangeBetween(Window.unboundedPreceding, 0))
+    rows = met(rows, edge.select(*by, PIECE, beyond("__l", F.asc).alias("__far_a"), beyond("__f", F.desc).alias("__far_b")), by)
+    return rows.withColumns({before: F.coalesce(within(F.asc), "__far_a"), after: F.coalesce(within(F.desc), "__far_b")}).drop("__far_a", "__far_b")

@@ -127,7 +127,7 @@ def test_numbers_neighbours_and_sums_cross_pieces(spark):
     rows = pieces.split(df, ["g", "t"], 40)
     rows = pieces.running_sum(pieces.previous(rows, ["g"], ["t"], ["k"], "before"), ["g"], ["t"], "k", "upto")
     rows = rows.withColumn("some", F.expr("case when k % 11 = 0 then k end"))
-    rows = pieces.nearest(pieces.nearest(rows, ["g"], "t", "some", "a"), ["g"], "t", "some", "b", back=True)
+    rows = pieces.around(rows, ["g"], "t", "some", "a", "b")
     number = {r.k: r["__i"] for r in pieces.numbered(df, ["g"], ["t"]).collect()}
     got = {r.k: r for r in rows.collect()}
     assert len(got) == len(number) == 400
