@@ -134,13 +134,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, heavy: int = 20_000) ->
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and have Spark send them Arrow batches of at most 1,024 rows, as texts can be long."""
+    """Let Python workers import this package.
+
+    Session settings are left alone: Spark ends an Arrow batch at ``spark.sql.execution.arrow.maxBytesPerBatch``, however many
+    rows that is, and the functions here cut batches into slices of their own.
+    """
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1024 or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, "1024")
 
 
 def trim() -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixwave.llm import lines, phrases
 from fixwave.llm.common import Scratch, documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,5 +82,23 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op8_chat, op9_media, op10_leaks)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.runs import find
+
+    return find(documents(spark, sf_dir), fold=True)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.phrases import mine
+
+    return mine(documents(spark, sf_dir), longest=4, least=30, top=2000)
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fixwave.llm.lines import digest, remove
+
+    return digest(remove(documents(spark, sf_dir), documents=3, length=20))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_secrets, op4_quality, op5_pii, op6_token_files, op7_jaccard, op8_chat, op9_media, op10_leaks, op11_runs, op12_phrases, op13_lines)}
+ORACLE_SQL: dict[str, str] = {"op12_phrases": phrases.SQL, "op13_lines": lines.SQL}
