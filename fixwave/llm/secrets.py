@@ -189,7 +189,11 @@ class Formats:
         self.prior = {k: math.log(max(1, counts.get(k, 0)) / tokens) for k in self.models}
 
     def scores(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The probability that each value is a credential, and whether it is one by odds and level."""
+        """The probability that each value is a credential, and whether it is one: where that is over one half.
+
+        A value that is short of the level that labelled values reach is unlike the kind as well as unlike words: whatever the
+        odds between these two, its own are below even, by what it is short.
+        """
         chance, accepted = np.zeros(len(values)), np.zeros(len(values), bool)
         if not self.models or not values:
             return chance, accepted
@@ -198,10 +202,10 @@ class Formats:
         plain = self.plain.logliks(*coded) if self.plain else (size + 1) * UNIFORM
         for k, m in self.models.items():
             own = m.logliks(*coded)
-            short = np.minimum(0, own - self.level[k] * size)  # what is unlike the kind as well gets no credit for being unlike words
-            odds = own - plain + self.prior[k] + short
+            short, odds = own - self.level[k] * size, own - plain + self.prior[k]
+            odds = np.where(short < 0, np.minimum(odds, short), odds)
             chance = np.maximum(chance, 1 / (1 + np.exp(-np.clip(odds, -700, 700))))
-            accepted |= (odds > 0) & (short == 0)
+            accepted |= odds > 0
         return chance, accepted
 
 
