@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixwave.operators.joins import near_pairs
+from fixwave.operators.joins import near_pairs, small
+from fixwave.session import shared
 
 
 def averages(df: DataFrame, by: list[str], columns: list[str], places: int = 3) -> DataFrame:
@@ -66,16 +69,57 @@ def argmax(vector: Column) -> Column:
     return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
 
 
-def order_statistic(df: DataFrame, by: list[str], value: str, level: float, out: str) -> DataFrame:
-    """(by, out): the element at int(n * level) of each group's values in order.
+def order_statistic(df: DataFrame, by: list[str], value: str, level: float, out: str, bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """(by, out): the element at int(n * level) of each group's values in order; nulls don't count, NaN comes last.
 
-    Equal values are counted before anything is ordered, and the counts summed along the order of values.
+    Found by selection: the values between a group's bounds are counted in ``bins`` bins, and the bin that holds the place gives
+    the next bounds, until ``few`` values or fewer, or equal ones, lie between them. Only these are put in order, so no group is.
+    Bins are by turns even in the logarithm and in the value, so that any spread is narrowed in about a dozen rounds at most.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    counts = counts.withColumn("__upto", F.sum("__n").over(upto)).join(counts.groupBy(*by).agg(F.sum("__n").alias("__all")), by)
-    place = F.least(F.floor(F.col("__all") * level), F.col("__all") - 1)
-    return counts.where((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place)).select(*by, F.col(value).alias(out))
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("__v"))
+    state = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    state = state.withColumn("place", F.least(F.floor(F.col("n") * level), F.col("n") - 1))
+    low, high, x, far = F.col("low").cast("double"), F.col("high").cast("double"), F.col("__v").cast("double"), F.lit(1.7e308)
+    open_ = (F.col("n") > few) & (low != high)
+    for turn in itertools.count():
+        state = _written(state)
+        if state.where(open_).isEmpty():
+            break
+        a, b = F.greatest(low, -far), F.when(F.isnan(high), far).otherwise(F.least(high, far))
+        # halves keep the difference of far bounds finite; a bin is monotone in the value, whatever is rounded
+        even = _octaves if turn % 2 == 0 else (lambda v: v / 2)
+        share = F.coalesce(F.try_divide(even(x) - even(a), even(b) - even(a)), F.lit(0.0))
+        place = F.when(F.isnan(x), bins + 1).when(x == float("inf"), bins).when(x == float("-inf"), -1).otherwise(F.greatest(F.lit(0), F.least(F.floor(share * bins), F.lit(bins - 1))).cast("int"))
+        met = _between(rows, state.where(open_), keys).withColumn("bin", place)
+        counts = met.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.max("place").alias("place"))
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bin"))  # bins + 3 rows of a group at most
+        own = counts.withColumn("upto", upto).where("upto > place AND upto - n <= place").withColumn("place", F.expr("place - upto + n"))
+        state = state.where(~open_).unionByName(own.select(*state.columns))
+    counts = _between(rows, state, keys).groupBy(*keys, "__v").agg(F.count("*").alias("n"), F.max("place").alias("place"))
+    found = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("__v"))).where("upto > place AND upto - n <= place")
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.col("__v").alias(out))
+
+
+def _octaves(v: Column) -> Column:
+    """The logarithm of a finite number, with its sign; it grows with the number from the least to the greatest, 0 included."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1100))
+
+
+def _written(state: DataFrame) -> DataFrame:
+    """A table of one row for each group, cut off by the shared folder from what it was made from."""
+    path, schema = shared(state.sparkSession, "selection"), state.schema
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(schema).parquet(path)
+
+
+def _between(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """The values that lie between their group's bounds, with its place; a null is a key like others. Few groups are broadcast."""
+    of = state.select(*[F.col(k).alias(f"__of{k}") for k in keys], "low", "high", "place")
+    cond = F.col("__v").between(F.col("low"), F.col("high"))
+    for k in keys:
+        cond = F.col(k).eqNullSafe(F.col(f"__of{k}")) & cond
+    return rows.join(small(of), cond).drop(*[f"__of{k}" for k in keys])
 
 
 def gram_matrix(re: list[Column], im: list[Column]) -> list[Column]:

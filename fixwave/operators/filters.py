@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fixwave.operators import pieces
+
 
 def request(df: DataFrame, ids: list | None = None, equal: dict | None = None, fields: list[str] | None = None, between: tuple | None = None, order: list[str] | None = None, offset: int = 0, limit: int | None = None, key: str = "ID") -> DataFrame:
     """A request's filters in their order: ids, equalities, a closed range (column, low, high), fields, offset, then limit."""
@@ -52,11 +54,20 @@ def visibility(projects: DataFrame, user: int, groups: list[int], viewers: DataF
     return rows.withColumn("visibility", kind).drop("__c", "__v")
 
 
-def hysteresis(df: DataFrame, by: list[str], at: str, value: str, off: float, on: float) -> DataFrame:
-    """``powered``: false from a value below ``off`` until one above ``on``; null before either."""
+def hysteresis(df: DataFrame, by: list[str], at: list[str], value: str, off: float, on: float) -> DataFrame:
+    """``powered``: false from a value below ``off`` until one above ``on``; null before either.
+
+    The last known flag is a state that combines associatively, so each range of the order ``at`` has its own, which is carried
+    over the ranges of a group; no task orders a group whole.
+    """
     flag = F.when(F.col(value) < off, False).when(F.col(value) > on, True)
-    order = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__f", flag).withColumn("powered", F.last("__f", ignorenulls=True).over(order)).drop("__f")
+    rows = pieces.split(df.withColumn("__f", flag), at)
+    known = F.when(F.col("__f").isNotNull(), F.struct(*at))
+    last = rows.groupBy(*by, pieces.PIECE).agg(F.max_by("__f", known).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy(*by).orderBy(pieces.PIECE).rowsBetween(Window.unboundedPreceding, -1))
+    within = F.last("__f", ignorenulls=True).over(Window.partitionBy(*by, pieces.PIECE).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0))
+    rows = pieces.met(rows, last.select(*by, pieces.PIECE, before.alias("__before")), by)
+    return rows.withColumn("powered", F.coalesce(within, "__before")).drop("__f", "__before", pieces.PIECE)
 
 
 def cold_folders(paths: DataFrame, path: str, now: str, minutes: int = 2) -> DataFrame:

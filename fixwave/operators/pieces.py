@@ -1,8 +1,11 @@
 """Order without one task for each group: rows are dealt into ranges of a key, and what crosses a range's edge is carried.
 
-The bounds of ranges come from a random sample of keys that is taken once, when the plan is built (at most SAMPLE rows, which
-no result hangs on), and are then fixed: the range of a row is a function of its key, however often, and in however many
+The bounds of ranges come from a random sample of keys that is taken once, when the plan is built (SAMPLE keys for each range,
+which no result hangs on), and are then fixed: the range of a row is a function of its key, however often, and in however many
 branches of a plan, it is computed. Rows of equal keys share a range; so a group is split as finely as its keys differ.
+
+There are as many ranges as shuffle partitions, which are set by the size of the input; no number is the most. The bounds are one
+constant of the plan, and a key's range is found in it in two steps, of about the root of their number each.
 """
 
 from __future__ import annotations
@@ -11,18 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE = 8192
+SAMPLE = 32
 PIECE = "__piece"
 
 
 def split(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
-    """``df`` with ``__piece``, the number of the range that holds its (order) key: as many as shuffle partitions, 256 at most.
+    """``df`` with ``__piece``, the number of the range that holds its (order) key: as many ranges as shuffle partitions.
 
     Null keys come first and NaN last, as in Spark's ascending order.
     """
     spark = df.sparkSession
-    pieces = min(256, pieces or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = sorted(df.select(*order, F.rand(0).alias("__r")).orderBy("__r").limit(SAMPLE).drop("__r").collect(), key=lambda r: [(v is not None, v != v, v) for v in r])
+    pieces = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = sorted(df.select(*order, F.rand(0).alias("__r")).orderBy("__r").limit(max(8192, SAMPLE * pieces)).drop("__r").collect(), key=lambda r: [(v is not None, v != v, v) for v in r])
     bounds = list(dict.fromkeys(tuple(keys[len(keys) * k // pieces]) for k in range(1, pieces))) if keys else []
     if not bounds:
         return df.withColumn(PIECE, F.lit(0))

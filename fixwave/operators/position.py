@@ -98,40 +98,3 @@ def positions(sums: DataFrame, sites: DataFrame, margin: float = 1500.0, cfg: Po
 
 
 NAMES = ["deployment", "centre", "easting", "northing", "likelihood", "activity", "n", "n_sites"]
-
-
-def bootstrap(sums: DataFrame, sites: DataFrame, draws: int = 200, margin: float = 1500.0, cfg: Positioning = Positioning(), seed: int = 0) -> DataFrame:
-    """Covariance of each window's position by case resampling of its sites' spectra, seeded by deployment and window.
-
-    With few sites all multisets are taken instead of draws. Levels w68..w99 are Mahalanobis quantiles of the resampled points.
-    """
-    reach_workers(sums.sparkSession)
-    from itertools import combinations_with_replacement
-    from math import comb
-
-    rows = sums.join(sites.select("site", "easting", "northing"), "site")
-    names = ["deployment", "centre", "status", "n_draws", "cov11", "cov12", "cov22", "w68", "w80", "w90", "w95", "w99"]
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("site")
-        m = len(pdf)
-        xy, knots = pdf[["easting", "northing"]].to_numpy(float), [np.asarray(k) for k in pdf["knots"]]
-        if m < 2:
-            return pd.DataFrame([[*key, "undefined", 0, *[None] * 8]], columns=names)
-        if comb(2 * m - 1, m) < draws:
-            picks = [p for p in combinations_with_replacement(range(m), m) if len(set(p)) > 1]
-        else:
-            rng = np.random.default_rng([seed, int(key[1]) % 2**32, sum(str(key[0]).encode())])
-            picks = [p for p in (rng.integers(0, m, m).tolist() for _ in range(draws)) if len(set(p)) > 1]
-        low, high = xy.min(axis=0) - margin, xy.max(axis=0) + margin
-        points = np.array([search(xy[list(p)], [knots[i] for i in p], (low[0], high[0], low[1], high[1]), cfg)[:0:-1] for p in picks])
-        c = np.cov(points.T) if len(points) > 2 else np.zeros((2, 2))
-        det = float(np.linalg.det(c))
-        if not det > 1e-12:
-            return pd.DataFrame([[*key, "singular" if det >= -1e-12 else "nonposdef", len(points), c[0, 0], c[0, 1], c[1, 1], *[None] * 5]], columns=names)
-        d = points - points.mean(axis=0)
-        w = np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
-        return pd.DataFrame([[*key, "ok", len(points), c[0, 0], c[0, 1], c[1, 1], *[float(w[min(len(w) - 1, int(len(w) * q))]) for q in (0.68, 0.8, 0.9, 0.95, 0.99)]]], columns=names)
-
-    kind = rows.schema["deployment"].dataType.simpleString()
-    return rows.groupBy("deployment", "centre").applyInPandas(run, f"deployment {kind}, centre long, status string, n_draws int, cov11 double, cov12 double, cov22 double, w68 double, w80 double, w90 double, w95 double, w99 double")

@@ -1,4 +1,10 @@
-"""Elevation and line of sight over a raster table (row, col, elevation), as joins on cells."""
+"""Elevation and line of sight over a raster table (row, col, elevation), as joins on cells.
+
+A ray is not sampled whole. ``pyramid`` has the greatest elevation of tiles of 2, 4, 8 ... cells a side. The samples of a ray are
+taken in blocks of a power of two; a block lies in four tiles at most, and if none of these is high enough to hide the point,
+seen from the block's near or far end, the block is done. Only the others are halved, down to single samples, which are tested
+exactly. So what a point costs is set by the ridges near its line, not by its distance.
+"""
 
 from __future__ import annotations
 
@@ -31,20 +37,57 @@ def elevated(points: DataFrame, raster: DataFrame, where: Raster, east: str = "e
     return points.withColumn("__r", row).withColumn("__c", col).join(cells, ["__r", "__c"], "left").drop("__r", "__c")
 
 
-def line_of_sight(points: DataFrame, key: str, raster: DataFrame, where: Raster, site: tuple[float, float, float], step: float = 10.0) -> DataFrame:
+def pyramid(raster: DataFrame, where: Raster) -> DataFrame:
+    """(level, row, col, top): the greatest elevation of each tile of 2 ** level cells a side, up to one tile."""
+    level = raster.groupBy("row", "col").agg(F.max("elevation").alias("top"))
+    out = level.select(F.lit(0).alias("level"), "row", "col", "top")
+    for k in range(1, max(where.rows, where.cols, 1).bit_length() + 1):
+        level = level.groupBy(F.shiftright("row", 1).alias("row"), F.shiftright("col", 1).alias("col")).agg(F.max("top").alias("top"))
+        out = out.unionByName(level.select(F.lit(k).alias("level"), "row", "col", "top"))
+    return out
+
+
+def line_of_sight(points: DataFrame, key: str, raster: DataFrame, where: Raster, site: tuple[float, float, float], step: float = 10.0, tiles: DataFrame | None = None) -> DataFrame:
     """(key, distance, angle, visible): from a site (easting, northing, elevation) to points with easting, northing, elevation.
 
     The straight line is sampled every ``step`` metres; a sample whose angle from the site is greater than the point's hides it.
+    Samples whose cell the raster lacks hide nothing. ``tiles``: the raster's ``pyramid``, if it is there already.
     """
     e0, n0, z0 = site
+    tiles = pyramid(raster, where) if tiles is None else tiles
     de, dn = F.col("easting") - e0, F.col("northing") - n0
-    rows = points.withColumn("__d", F.hypot(de, dn)).withColumn("__a", elevation_angle(F.col("elevation") - z0, F.col("__d")))
-    n = F.greatest(F.ceil(F.col("__d") / step).cast("int") - 1, F.lit(0))
-    at = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: k * F.lit(step))).otherwise(F.array().cast("array<double>"))
-    samples = rows.select(key, "__d", "__a", F.explode_outer(at).alias("__s"))
-    share = F.try_divide(F.col("__s"), F.col("__d"))
-    samples = samples.join(rows.select(key, de.alias("__e"), dn.alias("__n")), key)
-    samples = samples.withColumn("__x", e0 + F.col("__e") * share).withColumn("__y", n0 + F.col("__n") * share)
-    ground = elevated(samples, raster, where, "__x", "__y", "__z")
-    hidden = elevation_angle(F.col("__z") - z0, F.col("__s"))
-    return ground.groupBy(key).agg(F.first("__d").alias("distance"), F.first("__a").alias("angle"), F.coalesce(F.max(hidden) <= F.first("__a"), F.lit(True)).alias("visible"))
+    rays = points.select(key, de.alias("__e"), dn.alias("__n"), F.hypot(de, dn).alias("__d"), F.col("elevation"))
+    rays = rays.withColumn("__a", elevation_angle(F.col("elevation") - z0, F.col("__d"))).drop("elevation")
+    last = F.ceil(F.col("__d") / step).cast("int") - 1
+
+    def cell(sample):
+        share = F.try_divide(sample * F.lit(step), F.col("__d"))
+        return where.cell(e0 + F.col("__e") * share, n0 + F.col("__n") * share)
+
+    levels = max(1, int(max(where.rows, where.cols) * where.step / step)).bit_length()
+    size = 1 << levels
+    first = F.explode(F.sequence(F.lit(0), F.floor((F.col("__to") - 1) / size).cast("int")))
+    open_ = rays.withColumn("__to", last).where("__to >= 1").withColumn("__b", first)
+    open_ = open_.withColumn("__from", F.col("__b") * size + 1).withColumn("__to", F.least(F.col("__to"), (F.col("__b") + 1) * size)).drop("__b")
+    for _ in range(levels):
+        (r1, c1), (r2, c2) = cell(F.col("__from")), cell(F.col("__to"))
+        boxed = open_.withColumns({"__r1": F.least(r1, r2), "__r2": F.greatest(r1, r2), "__c1": F.least(c1, c2), "__c2": F.greatest(c1, c2)})
+        span = F.greatest(F.col("__r2") - F.col("__r1"), F.col("__c2") - F.col("__c1"))
+        boxed = boxed.withColumn("level", F.when(span > 0, F.ceil(F.log2(span + 1.0)).cast("int")).otherwise(0))
+        shift = lambda c: F.call_function("shiftright", F.col(c), F.col("level"))
+        corners = F.array_distinct(F.array(*[F.struct(shift(r).alias("row"), shift(c).alias("col")) for r in ("__r1", "__r2") for c in ("__c1", "__c2")]))
+        near = boxed.select(key, "__from", "__to", "level", F.explode(corners).alias("t")).select(key, "__from", "__to", "level", "t.*")
+        tops = near.join(tiles, ["level", "row", "col"]).groupBy(key, "__from", "__to").agg(F.max("top").alias("__top"))
+        met = tops.join(rays, key)
+        rise = F.col("__top") - z0
+        best = elevation_angle(rise, F.when(rise > 0, F.col("__from")).otherwise(F.col("__to")) * step)
+        half = F.floor((F.col("__from") + F.col("__to")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("__from").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("__to").alias("b")))
+        kept = met.where(best > F.col("__a")).withColumn("__h", F.explode(halves)).where("__h.a <= __h.b")
+        open_ = kept.select(*rays.columns, F.col("__h.a").alias("__from"), F.col("__h.b").alias("__to"))
+    row, col = cell(F.col("__from"))
+    single = open_.select(key, "__a", "__from", row.alias("row"), col.alias("col"))
+    ground = single.join(raster.select("row", "col", F.col("elevation").alias("__z")), ["row", "col"])
+    hidden = ground.where(elevation_angle(F.col("__z") - z0, F.col("__from") * step) > F.col("__a")).select(F.col(key).alias("__key")).distinct()
+    out = rays.join(hidden, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return out.select(key, F.col("__d").alias("distance"), F.col("__a").alias("angle"), F.col("__key").isNull().alias("visible"))

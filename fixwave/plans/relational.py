@@ -54,8 +54,8 @@ def f_visibility(spark, sf):
 @query("""WITH f AS (SELECT user_id, epoch_us(ts) AS t, event_id, value, CASE WHEN value < 10 THEN 0 WHEN value > 60 THEN 1 END AS f FROM events)
 SELECT event_id, last_value(f IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) = 1 AS powered FROM f""")
 def f_hysteresis(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", F.struct(scalar.micros(F.col("ts")).alias("t"), "event_id").alias("at"), "value")
-    return filters.hysteresis(e, ["user_id"], "at", "value", 10.0, 60.0).select("event_id", "powered")
+    e = table(spark, sf, "events").select("user_id", "event_id", scalar.micros(F.col("ts")).alias("t"), "value")
+    return filters.hysteresis(e, ["user_id"], ["t", "event_id"], "value", 10.0, 60.0).select("event_id", "powered")
 
 
 @query("""SELECT o.o_orderkey, o.o_totalprice, l.l_linenumber, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_quantity >= 40""")

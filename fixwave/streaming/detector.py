@@ -8,12 +8,14 @@ the stream's length. The same function works on a whole recording at once.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,39 +89,50 @@ def detect(samples: np.ndarray, cfg: Detector = Detector()) -> list[tuple[int, f
 
 
 def detect_ordered(rows: DataFrame, key: str, order: str, power: str, cfg: Detector = Detector()) -> DataFrame:
-    """(key, peak, level, floor, rate): pulses of each key's samples taken in order, a batch of rows at a time."""
+    """(key, peak, level, floor, rate): pulses of each key's samples taken in order, a batch of rows at a time.
+
+    A null key is a key like others. Batches may end anywhere, and may be of nulls only: results go out with declared types.
+    """
     reach_workers(rows.sparkSession)
-    sorted_ = rows.select(key, order, power).where(F.col(power).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    sorted_ = rows.select(key, order, F.col(power).cast("double").alias(power)).where(F.col(power).isNotNull()).repartition(key).sortWithinPartitions(key, order)
 
-    def run(frames):
+    def run(batches):
         machine, now = None, None
-        for pdf in frames:
-            found = []
-            for k, part in pdf.groupby(key, sort=False, dropna=False):
-                if machine is None or k != now:
-                    machine, now = State(cfg), k
-                found += [(k, *f) for f in machine.step(part[power].to_numpy(float))]
-            yield pd.DataFrame(found, columns=[key, "peak", "level", "floor", "rate"])
-
-    return sorted_.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, {PULSES}")
+        for batch in batches:
+            keys = batch.column(0)
+            names, values = keys.to_pylist(), batch.column(2).to_numpy()
+            edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)] if names else []
+            at, found = [], []
+            for a, b in itertools.pairwise(edges):
+                if machine is None or names[a] != now:
+                    machine, now = State(cfg), names[a]
+                pulses = machine.step(values[a:b])
+                at += [a] * len(pulses)
+                found += pulses
+            columns = list(zip(*found)) or [()] * 4
+            kinds = [pa.int64()] + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[key, "peak", "level", "floor", "rate"])
+
+    return sorted_.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {PULSES}")
 
 
 def detect_stream(chunks: DataFrame, cfg: Detector = Detector(), patience: int = 64) -> DataFrame:
     """Pulses of streams keyed by (site, band) from rows (site, band, seq, power: array of summed channel powers).
 
     Chunks that come before their predecessors wait in the state until these are there; if more than ``patience`` wait, the
-    missing ones are taken for lost, and detection starts anew behind the gap.
+    missing ones are taken for lost, and detection starts anew behind the gap. Samples are counted on from there, so that no two
+    pulses of a stream have one number.
     """
     reach_workers(chunks.sparkSession)
 
     def run(key, frames, state):
-        machine, due, waiting = pickle.loads(state.get[0]) if state.exists else (State(cfg), 0, {})
+        machine, due, waiting, base = pickle.loads(state.get[0]) if state.exists else (State(cfg), 0, {}, 0)
         found = []
 
         def feed():
-            nonlocal machine, due
+            nonlocal due
             while due in waiting:
-                found.extend(machine.step(waiting.pop(due)))
+                found.extend((base + p, *rest) for p, *rest in machine.step(waiting.pop(due)))
                 due += 1
 
         for pdf in frames:
@@ -128,10 +141,9 @@ def detect_stream(chunks: DataFrame, cfg: Detector = Detector(), patience: int =
                     waiting[int(s)] = np.asarray(p, float)
                 feed()
                 if len(waiting) > patience:
-                    due = min(waiting)
-                    machine = State(cfg, seen=0)
+                    due, base, machine = min(waiting), base + machine.seen, State(cfg)
                     feed()
-        state.update((pickle.dumps((machine, due, waiting)),))
+        state.update((pickle.dumps((machine, due, waiting, base)),))
         yield pd.DataFrame([(*key, *p) for p in found], columns=["site", "band", "peak", "level", "floor", "rate"])
 
     return chunks.groupBy("site", "band").applyInPandasWithState(run, f"site string, band int, {PULSES}", "state binary", "append", "NoTimeout")
