@@ -1,9 +1,9 @@
 """Elevation and line of sight over a raster table (row, col, elevation), as joins on cells.
 
 A ray is not sampled whole. ``pyramid`` has the greatest elevation of tiles of 2, 4, 8 ... cells a side. The samples of a ray are
-taken in blocks of a power of two; a block lies in four tiles at most, and if none of these is high enough to hide the point,
-seen from the block's near or far end, the block is done. Only the others are halved, down to single samples, which are tested
-exactly. So what a point costs is set by the ridges near its line, not by its distance.
+taken in blocks of a power of eight; a block lies in four tiles at most, and if none of these is high enough to hide the point,
+seen from the block's near or far end, the block is done. Only the others are cut into eight, down to single samples, which are
+tested exactly. So what a point costs is set by the ridges near its line, not by its distance.
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixwave.functions.geo import elevation_angle, raster_index
+from fixwave.operators.joins import small
+from fixwave.session import shared
+
+
+CUT = 8  # how many parts a block is cut into
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,10 @@ def line_of_sight(points: DataFrame, key: str, raster: DataFrame, where: Raster,
     Samples whose cell the raster lacks hide nothing. ``tiles``: the raster's ``pyramid``, if it is there already.
     """
     e0, n0, z0 = site
-    tiles = pyramid(raster, where) if tiles is None else tiles
+    if tiles is None:  # each step reads them: written once
+        pyramid(raster, where).write.parquet(path := shared(raster.sparkSession, "tiles"))
+        tiles = raster.sparkSession.read.parquet(path)
+    tiles = small(tiles)
     de, dn = F.col("easting") - e0, F.col("northing") - n0
     rays = points.select(key, de.alias("__e"), dn.alias("__n"), F.hypot(de, dn).alias("__d"), F.col("elevation"))
     rays = rays.withColumn("__a", elevation_angle(F.col("elevation") - z0, F.col("__d"))).drop("elevation")
@@ -64,12 +72,14 @@ def line_of_sight(points: DataFrame, key: str, raster: DataFrame, where: Raster,
         share = F.try_divide(sample * F.lit(step), F.col("__d"))
         return where.cell(e0 + F.col("__e") * share, n0 + F.col("__n") * share)
 
-    levels = max(1, int(max(where.rows, where.cols) * where.step / step)).bit_length()
-    size = 1 << levels
+    size = CUT
+    while size < max(where.rows, where.cols) * where.step / step:
+        size *= CUT
     first = F.explode(F.sequence(F.lit(0), F.floor((F.col("__to") - 1) / size).cast("int")))
     open_ = rays.withColumn("__to", last).where("__to >= 1").withColumn("__b", first)
     open_ = open_.withColumn("__from", F.col("__b") * size + 1).withColumn("__to", F.least(F.col("__to"), (F.col("__b") + 1) * size)).drop("__b")
-    for _ in range(levels):
+    while size > 1:
+        size //= CUT
         (r1, c1), (r2, c2) = cell(F.col("__from")), cell(F.col("__to"))
         boxed = open_.withColumns({"__r1": F.least(r1, r2), "__r2": F.greatest(r1, r2), "__c1": F.least(c1, c2), "__c2": F.greatest(c1, c2)})
         span = F.greatest(F.col("__r2") - F.col("__r1"), F.col("__c2") - F.col("__c1"))
@@ -81,10 +91,9 @@ def line_of_sight(points: DataFrame, key: str, raster: DataFrame, where: Raster,
         met = tops.join(rays, key)
         rise = F.col("__top") - z0
         best = elevation_angle(rise, F.when(rise > 0, F.col("__from")).otherwise(F.col("__to")) * step)
-        half = F.floor((F.col("__from") + F.col("__to")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("__from").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("__to").alias("b")))
-        kept = met.where(best > F.col("__a")).withColumn("__h", F.explode(halves)).where("__h.a <= __h.b")
-        open_ = kept.select(*rays.columns, F.col("__h.a").alias("__from"), F.col("__h.b").alias("__to"))
+        starts = F.sequence(F.col("__from"), F.col("__to"), F.lit(size))
+        kept = met.where(best > F.col("__a")).withColumn("__s", F.explode(starts))
+        open_ = kept.select(*rays.columns, F.col("__s").alias("__from"), F.least(F.col("__s") + (size - 1), F.col("__to")).alias("__to"))
     row, col = cell(F.col("__from"))
     single = open_.select(key, "__a", "__from", row.alias("row"), col.alias("col"))
     ground = single.join(raster.select("row", "col", F.col("elevation").alias("__z")), ["row", "col"])

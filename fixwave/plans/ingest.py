@@ -29,8 +29,8 @@ def _records(spark: SparkSession, sf_dir: str, sample: str = "value") -> DataFra
     return g.withColumns({"channels": F.lit(1), "pulse_at": F.lit(0), "pulse_n": F.lit(1), "rate": F.lit(8000.0), "center": F.lit(0.0)})
 
 
-_CHUNKS = f"""SELECT event_type AS site, event_id // {SIZE} AS chunk, strftime(make_timestamp(min(epoch_us(ts)) // 1000000 * 1000000), '%Y-%m-%d %H:%M') AS minute,
-'c' || event_id // {SIZE} || '_' || strftime(make_timestamp(min(epoch_us(ts)) // 1000000 * 1000000), '%S') || '000000.det' AS name, count(*) AS n FROM events GROUP BY ALL"""
+_CHUNKS = f"""SELECT site, chunk, n, strftime(began, '%Y-%m-%d %H:%M') AS minute, 'c' || chunk || '_' || strftime(began, '%S') || '000000.det' AS name
+FROM (SELECT event_type AS site, event_id // {SIZE} AS chunk, count(*) AS n, make_timestamp(min(epoch_us(ts)) // 1000000 * 1000000) AS began FROM events GROUP BY ALL)"""
 
 
 @query(f"""WITH c AS ({_CHUNKS}) SELECT site, minute, 'c' || chunk AS tag, n FROM c WHERE site IN ('click', 'view') AND minute >= '2024-01-02 00:00'""")
