@@ -52,6 +52,12 @@ def bin_of(value: Column, low: float, high: float, bins: int) -> Column:
     return F.when(value == high, F.lit(bins - 1)).when((value >= low) & (value < high), F.floor((value - low) / (high - low) * bins)).cast("int")
 
 
+def density_histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(by, bin, n, density): counts over equal bins of [low, high], and their share of what lies there by unit of the value."""
+    rows = df.select(*by, bin_of(F.col(value), low, high, bins).alias("bin")).where(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    return rows.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy(*by)) / ((high - low) / bins))  # ``bins`` rows of a group at most
+
+
 def activity(p: Column) -> Column:
     """The spread of a spectrum: root of the summed squared deviations, over the sum."""
     return F.try_divide(F.sqrt(F.var_pop(p) * F.count(p)), F.sum(p))

@@ -133,6 +133,17 @@ def packed_steering(steering: DataFrame) -> DataFrame:
     return packed.select("site", F.flatten(F.transform("p", lambda x: x["re"])).alias("sv_re"), F.flatten(F.transform("p", lambda x: x["im"])).alias("sv_im"))
 
 
+def steering_of(vectors: DataFrame, calibration: int, include: list[int] = ()) -> DataFrame:
+    """One row a site of the stored vectors (siteID, cal_infoID, bearing, sv1r..sv4i) of a calibration, of some sites if any are
+    named. A site that lacks one of the bearings 0..359 is an error when its row is read."""
+    rows = vectors.where(F.col("cal_infoID") == calibration)
+    if include:
+        rows = rows.where(F.col("siteID").isin(list(include)))
+    packed = packed_steering(rows.withColumn("site", F.col("siteID")).withColumn("bearing", F.col("bearing").cast("int")))
+    whole = F.when(F.size("sv_re") == 4 * 360, F.col("sv_re")).otherwise(F.raise_error(F.concat(F.lit("bearings are missing for site "), F.col("site").cast("string"))).cast("array<double>"))
+    return packed.withColumn("sv_re", whole)
+
+
 def in_phase(re: list, im: list) -> tuple[list, list]:
     """Channels turned so that the first is real and positive."""
     size = F.hypot(re[0], im[0])

@@ -94,7 +94,23 @@ def _fixes(spark, sf):
     return e, targets
 
 
-@query()
+#: Windows of 500 rows that share 100; in each, the best sum up to every point in order of time, and the way back from the best.
+_TRACK = """WITH RECURSIVE p AS (SELECT event_type AS d, event_id AS id, epoch_us(ts) / 1e6 AS t, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, value / 100 AS ll FROM events),
+q AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY t, id) - 1 AS i, count(*) OVER (PARTITION BY d) AS m FROM p),
+w AS (SELECT *, CAST(greatest(0, ceil((m - 500) / 400.0)) AS BIGINT) AS final, CAST(greatest(0, ceil((i - 499) / 400.0)) AS BIGINT) AS low FROM q),
+r AS (SELECT d, id, t, x, y, ll, unnest(list_distinct(list_concat(range(low, least(i // 400, final) + 1), CASE WHEN i >= greatest(m - 500, 0) THEN [final] ELSE CAST([] AS BIGINT[]) END))) AS win FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY d, win ORDER BY t, id) AS v FROM r),
+e AS (SELECT b.d, b.win, b.v, list(a.v ORDER BY a.v) AS before FROM n a JOIN n b ON a.d = b.d AND a.win = b.win AND a.t < b.t WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / (b.t - a.t) < greatest(0.05, 0.5 + (0.1 - 0.5) * (b.t - a.t - 60) / 1740.0) GROUP BY ALL),
+nodes AS (SELECT n.d, n.win, n.v, n.ll, coalesce(e.before, CAST([] AS BIGINT[])) AS before FROM n LEFT JOIN e ON n.d = e.d AND n.win = e.win AND n.v = e.v),
+g AS (SELECT DISTINCT d, win, CAST(0 AS BIGINT) AS v, CAST([] AS DOUBLE[]) AS dist, CAST([] AS BIGINT[]) AS back FROM nodes
+UNION ALL SELECT d, win, v, list_append(dist, CASE WHEN best > 0 THEN best ELSE 0 END + ll), list_append(back, CASE WHEN best > 0 THEN before[list_position(reach, best)] ELSE 0 END) FROM (
+SELECT *, list_max(reach) AS best FROM (SELECT g.d, g.win, nodes.v, g.dist, g.back, nodes.ll, nodes.before, [g.dist[u] FOR u IN nodes.before] AS reach FROM g JOIN nodes ON g.d = nodes.d AND g.win = nodes.win AND nodes.v = g.v + 1) a) b),
+ends AS (SELECT d, win, dist, back, list_position(dist, list_max(dist)) AS v FROM g QUALIFY row_number() OVER (PARTITION BY d, win ORDER BY len(dist) DESC) = 1),
+way AS (SELECT d, win, back, CAST(v AS BIGINT) AS v FROM ends WHERE dist[v] > 0 UNION ALL SELECT d, win, back, back[v] FROM way WHERE back[v] > 0)
+SELECT n.d AS deployment, n.t, arg_max(n.id, n.ll * 1e9 - n.id) AS id FROM way JOIN n ON way.d = n.d AND way.win = n.win AND way.v = n.v GROUP BY n.d, n.t"""
+
+
+@query(_TRACK)
 def d_track(spark, sf):
     e, targets = _fixes(spark, sf)
     return track.tracks(e, targets)
@@ -108,13 +124,31 @@ def d_feasible_edges(spark, sf):
     return track.feasible_edges(rows, ["deployment"], 90_000).select("deployment", "a", "b")
 
 
-@query()
+_D = {"width": 8, "save": 24, "rise": 1.4, "tau": 500, "confirm": 4}
+#: The detector's table of states, one sample a step; state 0 is below the threshold, 1 near a peak, 2 after one.
+_DETECT = f"""WITH RECURSIVE s AS (SELECT event_type AS k, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events WHERE value IS NOT NULL),
+m AS (SELECT DISTINCT k, CAST(-1 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS w, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS floor, 0 AS used, 0 AS state, CAST(0 AS DOUBLE) AS best, CAST(0 AS BIGINT) AS best_at, 0 AS waited, false AS pulse FROM s
+UNION ALL SELECT k, i, w, level AS total,
+CASE WHEN i + 1 = {_D["save"]} THEN level WHEN averaged THEN floor + CAST(1 AS DOUBLE) / CASE WHEN used < {_D["tau"]} THEN used + 1 ELSE {_D["tau"]} END * (level - floor) ELSE floor END,
+CASE WHEN i + 1 = {_D["save"]} THEN {_D["width"]} WHEN averaged AND used < {_D["tau"]} THEN used + 1 ELSE used END,
+CASE WHEN filling THEN state WHEN state = 0 AND rises THEN 1 WHEN state = 1 AND NOT higher AND waited + 1 >= {_D["confirm"]} THEN 2 WHEN state = 2 AND falls THEN 0 ELSE state END,
+CASE WHEN NOT filling AND (state = 0 AND rises OR state = 1 AND higher) THEN level ELSE best END, CASE WHEN NOT filling AND (state = 0 AND rises OR state = 1 AND higher) THEN i ELSE best_at END,
+CASE WHEN NOT filling AND (state = 0 AND rises OR state = 1 AND higher) THEN 0 WHEN NOT filling AND state = 1 THEN waited + 1 ELSE waited END,
+NOT filling AND state = 1 AND NOT higher AND waited + 1 >= {_D["confirm"]} FROM (
+SELECT *, i < {_D["save"]} AS filling, level > CAST({_D["rise"]} AS DOUBLE) * floor AS rises, level > best AS higher, level < CAST(0.9 AS DOUBLE) * CAST({_D["rise"]} AS DOUBLE) * floor AS falls,
+i >= {_D["save"]} AND (state = 2 OR state = 0 AND NOT level > CAST({_D["rise"]} AS DOUBLE) * floor) AS averaged FROM (
+SELECT k, i, CASE WHEN len(w) >= {_D["width"]} THEN list_append(w[2:], v) ELSE list_append(w, v) END AS w, CASE WHEN len(w) >= {_D["width"]} THEN total + v - w[1] ELSE total + v END AS level, floor, used, state, best, best_at, waited FROM (
+SELECT m.k, s.i, m.w, m.total, m.floor, m.used, m.state, m.best, m.best_at, m.waited, CASE WHEN s.i < {_D["save"]} THEN s.x ELSE least(s.x, (2 * CAST({_D["rise"]} AS DOUBLE) - 1) / {_D["width"]} * m.floor) END AS v FROM m JOIN s ON s.k = m.k AND s.i = m.i + 1) a) b) c)
+SELECT k AS event_type, best_at AS peak, best AS level, floor, best / floor AS rate FROM m WHERE pulse"""
+
+
+@query(_DETECT)
 def r_detector(spark, sf):
     """Pulses in the event values of each type, taken as one stream in order of id; the batch form of the streaming operator."""
     from fixwave.streaming.detector import detect_ordered
 
     rows = table(spark, sf, "events").select("event_type", "event_id", "value")
-    return detect_ordered(rows, "event_type", "event_id", "value", Detector(pulse_width=8, save_width=24, rise=1.4, time_constant=500, confirmation=4))
+    return detect_ordered(rows, "event_type", "event_id", "value", Detector(pulse_width=_D["width"], save_width=_D["save"], rise=_D["rise"], time_constant=_D["tau"], confirmation=_D["confirm"]))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT max(c_custkey) + 1, 0.0 FROM customer""")

@@ -38,7 +38,7 @@ def s_det_source(spark, sf):
     """All events written as record files; those of two sites from a day on, read back by the source, which enters no other folder."""
     folder = shared(spark, "det")
     det.write(_records(spark, sf), folder)
-    found = det_source.scan(spark, folder).where(F.col("site").isin("click", "view") & (F.col("minute") >= "2024-01-02 00:00"))
+    found = det_source.scan(spark, folder, sites="click,view", low="2024-01-02 00:00").where(F.col("site").isin("click", "view") & (F.col("minute") >= "2024-01-02 00:00"))
     return found.select("site", "minute", "tag", (F.length("samples") / 8).cast("long").alias("n"))
 
 

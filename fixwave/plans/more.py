@@ -61,6 +61,9 @@ def k_plot_series(spark, sf):
     return exports.plot_series(e, "user_id", "t", "event_id", first + 1000, first + 400000, "UTC").select("user_id", "t", "value")
 
 
-@query()
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(f"""SELECT table_name AS "table", column_name AS "column", CAST(ordinal_position AS BIGINT) AS position FROM information_schema.columns WHERE table_name IN {_TABLES}""")
 def s_catalogue(spark, sf):
-    return exports.catalogue(spark)
+    return exports.catalogue({t: table(spark, sf, t) for t in _TABLES}).select("table", "column", "position")

@@ -77,9 +77,9 @@ def j_semi_in(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(items, "o_orderkey", "left_semi")
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)""")
 def j_anti_missing(spark, sf):
-    return joins.missing(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return joins.missing(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""SELECT r_name, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY r_name, n_name""")
@@ -264,9 +264,9 @@ def u_intersect(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("""SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("""SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0""")
 def u_except(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("k")))
 
 
 @query("""SELECT user_id, arg_max(event_type, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS event_type FROM events GROUP BY user_id""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fixwave.plans import domain, ingest, more, records, relational, temporal  # noqa: F401  these fill the registry
+from fixwave.plans import domain, ingest, more, reads, records, relational, temporal  # noqa: F401  these fill the registry
 from fixwave.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "d_score"

@@ -2,8 +2,9 @@
 
 The tree is site/YYYY/MM/DD/HH/MM/tag_SSuuuuuu.det. Filters on ``site`` and ``minute`` (the folder's time as YYYY-MM-DD HH:MM)
 choose the folders that are entered at each level, so a query for an hour of one site lists that hour. A partition has whole
-minute folders; a task lists its folders and reads their files one by one, as Arrow batches of bounded size. What Spark pushes
-down needs ``spark.sql.python.filterPushdown.enabled``; without it, the same rows come after all folders were read.
+minute folders; a task lists its folders and reads their files one by one, as Arrow batches of bounded size. Spark pushes filters
+down where ``spark.sql.python.filterPushdown.enabled`` is set; elsewhere the options ``sites`` (with commas), ``low`` and ``high``
+(minutes, closed) choose folders as well, and filters are applied to what was read.
 
 As a stream, each batch admits the newest ``throttle`` minute folders of each site that weren't admitted before, and no folder
 younger than ``settle`` seconds, to which files may still be added. Admissions are written to ``ledger`` before Spark logs the
@@ -52,9 +53,9 @@ def _minute(parts: list[str]) -> str:
 class Wanted:
     """Which sites, and which range of minutes, a query can use."""
 
-    def __init__(self):
-        self.sites: set[str] | None = None
-        self.low, self.high = "", "\x7f"
+    def __init__(self, options: dict):
+        self.sites = set(options["sites"].split(",")) if options.get("sites") else None
+        self.low, self.high = options.get("low") or "", options.get("high") or "\x7f"
 
     def take(self, f) -> bool:
         """Whether a filter is one of site or minute; if so, it narrows what is wanted."""
@@ -127,16 +128,11 @@ def _rows(root_uri: str, folders: list[tuple[str, str]]):
         yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
-class DetReader(DataSourceReader):
+class FolderReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.wanted = options["path"], Wanted()
+        self.folder, self.wanted = options["path"], Wanted(options)
         self.per_task = max(1, int(options.get("foldersPerTask") or 16))
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if not self.wanted.take(f):
-                yield f
-
     def partitions(self):
         store, root = _store(self.folder)
         found = self.wanted.all(store, root)
@@ -146,6 +142,15 @@ class DetReader(DataSourceReader):
         yield from _rows(self.folder, partition.folders)
 
 
+class DetReader(FolderReader):
+    """The same, with filters; Spark refuses a reader of this kind where pushing down is off."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.wanted.take(f):
+                yield f
+
+
 class DetStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder, self.ledger = options["path"], options["ledger"]
@@ -169,7 +174,7 @@ class DetStreamReader(DataSourceStreamReader):
 
     def latestOffset(self):
         store, root = _store(self.folder)
-        wanted = Wanted()
+        wanted = Wanted({})
         wanted.high = datetime.fromtimestamp(time.time() - self.settle - 60, UTC).strftime("%Y-%m-%d %H:%M")
         known, by_site = {x for e in self.entries for x in e}, {}
         for site, minute in wanted.all(store, root):
@@ -199,7 +204,10 @@ class DetStreamReader(DataSourceStreamReader):
 
 
 class DetSource(DataSource):
-    """``spark.read.format("det").load(folder)``, and ``spark.readStream.format("det").option("ledger", ...)``."""
+    """``spark.read.format("det").load(folder)``, and ``spark.readStream.format("det").option("ledger", ...)``.
+
+    The option ``pushdown`` must be ``true`` for filters to be pushed down; ``scan`` takes it from the session.
+    """
 
     @classmethod
     def name(cls):
@@ -209,7 +217,7 @@ class DetSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return DetReader(self.options)
+        return (DetReader if self.options.get("pushdown") == "true" else FolderReader)(self.options)
 
     def streamReader(self, schema):
         return DetStreamReader(self.options)
@@ -223,7 +231,8 @@ def register(spark: SparkSession) -> None:
 def scan(spark: SparkSession, folder: str, **options) -> DataFrame:
     """All records below a folder."""
     register(spark)
-    return spark.read.format("det").options(**options).load(folder)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("det").options(**{"pushdown": pushdown} | options).load(folder)
 
 
 def stream(spark: SparkSession, folder: str, ledger: str, **options) -> DataFrame:

@@ -42,7 +42,14 @@ def plot_series(df: DataFrame, by: str, at: str, value: str, start: int, end: in
     return rows.unionByName(ends).select(by, "t", local.alias("local"), "value")
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
+def stated(spark: SparkSession) -> DataFrame:
     """(table, column, kind, is_key) of the stated schemas."""
     rows = [(t, f.split(" ", 1)[0].strip("`"), f.split(" ", 1)[1], f.split(" ", 1)[0] == KEYS[t]) for t, ddl in TABLES.items() for f in ddl.split(", ")]
     return spark.createDataFrame(rows, "table string, column string, kind string, is_key boolean")
+
+
+def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, kind, position) of some tables, from their schemas alone: what has a given column is a filter of it."""
+    rows = [(t, f.name, f.dataType.simpleString(), k) for t, df in tables.items() for k, f in enumerate(df.schema.fields, 1)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table string, column string, kind string, position long")

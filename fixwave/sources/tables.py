@@ -51,6 +51,25 @@ def signals(est: DataFrame, scores: DataFrame | None, deployment: int, start, en
     return rows.withColumns({f"ed{c}i": -F.col(f"ed{c}i") for c in range(1, 5)})
 
 
+#: The columns of a site list; ``nil`` as a power switch means that there is none, and -1 as an outlet likewise.
+SITE_LIST = ["name", "comp_ip", "power_ip", "comp_outlet", "rx_outlet", "powertype", "state", "auto", "schedule"]
+SCHEDULE = r"^\s*([0-9]{1,2}):([0-9]{2})\s*-\s*([0-9]{1,2}):([0-9]{2})\s*$"
+
+
+def site_list(spark: SparkSession, path: str) -> DataFrame:
+    """The sites of a list with their types: outlets or null, ``has_power`` and ``is_auto`` as flags, and the schedule's bounds in
+    minutes of the day; a schedule that can't be read has nulls, and a site without a name isn't one."""
+    rows = read_csv(spark, path, SITE_LIST)
+    text = {c: blank_to_null(F.col(c)) for c in ("name", "comp_ip", "power_ip", "powertype", "state", "schedule")}
+    outlet = lambda c: F.when(F.trim(c).try_cast("int") >= 0, F.trim(c).try_cast("int")).alias(c)
+    minutes = lambda k: (F.nullif(F.regexp_extract("schedule", SCHEDULE, k), F.lit("")).try_cast("int") * 60 + F.nullif(F.regexp_extract("schedule", SCHEDULE, k + 1), F.lit("")).try_cast("int"))
+    return rows.where(text["name"].isNotNull()).select(
+        *[text[c].alias(c) for c in ("name", "comp_ip", "power_ip")], outlet("comp_outlet"), outlet("rx_outlet"), F.nullif(text["powertype"], F.lit("nil")).alias("powertype"),
+        (F.coalesce(text["powertype"], F.lit("nil")) != "nil").alias("has_power"), text["state"].alias("state"), (F.coalesce(F.lower(F.trim("auto")), F.lit("")) == "auto").alias("is_auto"),
+        text["schedule"].alias("schedule"), minutes(1).alias("opens"), minutes(3).alias("closes"),
+    )
+
+
 def read_gpx(spark: SparkSession, path: str, kind: str = "trkpt") -> DataFrame:
     """(name, t, lat, lon, ele) of track points or way points (kind wpt)."""
     schema = "_lat double, _lon double, ele double, time string, name string"

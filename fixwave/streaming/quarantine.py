@@ -81,7 +81,7 @@ def landed(spark: SparkSession, store: str, name: str) -> DataFrame | None:
 
 
 def _land(spark: SparkSession, stream: DataFrame, store: str, run: str, sites: DataFrame, checkpoint: str, once: bool) -> None:
-    known = sites.select(F.col("name").alias("site"), F.lit(True).alias("known"))
+    known = sites.select(F.col("name").alias("site"), F.lit(True).alias("known")).dropDuplicates(["site"])
 
     def one(batch: DataFrame, number: int) -> None:
         files = keyed(batch)

@@ -119,3 +119,23 @@ def test_one_site_is_undefined(rows):
     assert got and all(r["status"] == "undefined" and r["cov11"] is None and r["lambda1"] is None for r in got)
     with pytest.raises(ValueError):
         covariance.bootstrap(rows[0], "boot9")
+
+
+def test_kept_geometry_gives_the_same_position(monkeypatch):
+    rng = np.random.default_rng(9)
+    sites = rng.normal(size=(3, 2)) * 400
+    for _ in range(4):
+        knots = [np.convolve(np.tile(k, 3), np.ones(30) / 30, "same")[360:720] for k in rng.random((3, 360))]
+        kept = position.search(sites, knots, (-300.0, 300.0, -200.0, 250.0), CFG)
+        with monkeypatch.context() as m:
+            m.setattr(position, "CELLS", 0)
+            assert position.search(sites, knots, (-300.0, 300.0, -200.0, 250.0), CFG) == kept
+
+
+def test_single_position_is_that_of_all_pulses(spark):
+    sites, vectors, pulses = simulated(spark, seconds=60)
+    steering = direction.packed_steering(vectors)
+    sums = position.single_bearings(pulses, steering).collect()
+    assert len(sums) == 3 and all(r["n"] == 30 for r in sums)
+    p = position.positions(position.single_bearings(pulses, steering), sites, 200.0, CFG).collect()
+    assert len(p) == 1 and abs(p[0]["easting"] - 200) <= 15 and abs(p[0]["northing"] - 300) <= 15 and p[0]["n"] == 90

@@ -58,6 +58,9 @@ def test_filters_choose_the_folders(spark, tmp_path, monkeypatch):
     some = df.where("site = 'north' AND minute >= '2023-11-14 01:02' AND minute < '2023-11-14 02:01'")
     assert sorted(r["minute"][-5:] for r in some.collect()) == ["01:02", "01:03", "02:00"]
     assert df.where(F.col("site").isin("south", "east") & (F.col("minute") == "2023-11-14 00:01")).count() == 1
+    # a session that pushes nothing down has options, and filters what was read
+    plain = det_source.scan(spark, str(tmp_path), pushdown="false", sites="north,east", high="2023-11-14 01:00")
+    assert plain.count() == 5 and plain.where("minute > '2023-11-14 00:02'").count() == 2
     # folders out of range aren't entered
     entered, listed = [], det_source._listed
     monkeypatch.setattr(det_source, "_listed", lambda store, folder: entered.append(folder) or listed(store, folder))

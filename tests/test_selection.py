@@ -130,3 +130,22 @@ def test_pyramid_has_the_greatest_of_each_tile(spark):
     raster = spark.createDataFrame([(i, j, float(i * 10 - j)) for i in range(5) for j in range(3)], "row int, col int, elevation double")
     got = {tuple(r)[:3]: r["top"] for r in terrain.pyramid(raster, terrain.Raster(0.0, 0.0, 1.0, 5, 3)).collect()}
     assert got[0, 4, 2] == 38.0 and got[1, 1, 0] == 30.0 and got[2, 1, 0] == 40.0 and got[3, 0, 0] == 40.0 and max(k[0] for k in got) == 3
+
+
+def test_paths_of_windows_equal_paths_over_edges():
+    from fixwave.operators import track
+
+    rng = np.random.default_rng(11)
+    for family in ("linear", "exp", "const"):
+        for n in (0, 1, 2, 60):
+            t = np.sort(rng.integers(0, 40, n) * 50.0)  # some at one time
+            x, y, ll = rng.normal(size=n) * 30, rng.normal(size=n) * 30, np.round(rng.normal(size=n), 1)
+            model = (family, 1.2, 0.5, 0.3)
+            parents = {}
+            for b in range(n):
+                for a in range(n):
+                    if t[a] < t[b] and math.hypot(x[a] - x[b], y[a] - y[b]) / (t[b] - t[a]) < track.speeds(*model, np.array([t[b] - t[a]]))[0]:
+                        parents.setdefault(b, []).append(a)
+            assert track.window_path(t, x, y, ll, model) == track.critical_path(np.arange(n), t, ll, parents)
+    with pytest.raises(ValueError):
+        track.speeds("warp", 1.0, 1.0, 1.0, np.array([1.0]))
