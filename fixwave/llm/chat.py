@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixwave.llm.common import Scratch, let
+from fixwave.llm.common import Scratch, let, lookup
 
 ANNOUNCED = r"(?:wrote|writes|said|schrieb|escribi\x{f3}|a \x{e9}crit)[ \t]*:[ \t\r]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,13 +88,17 @@ def _units(rows: DataFrame, column: str) -> DataFrame:
     return out.select("conv_id", "turn", "u.level", "u.hash", "u.chars")
 
 
-def replies(rows: DataFrame, least: int = 12) -> DataFrame:
-    """(conv_id, turn, reply_to) of messages that quote an earlier one."""
+def replies(rows: DataFrame, scratch: Scratch, least: int = 12) -> DataFrame:
+    """(conv_id, turn, reply_to) of messages that quote an earlier one; ``rows`` are a saved table.
+
+    A conversation or a passage that has a large share of all messages or quotes is met by a broadcast (``lookup``).
+    """
     quoting = rows.where("n_quotes > 0")
-    quotes = _units(quoting, "quoted")
-    talked = rows.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
+    quotes = scratch.save(_units(quoting, "quoted").withColumn("key", F.struct("conv_id", "hash")), "quotes")
+    talks = quoting.select("conv_id").distinct().withColumn("talks", F.lit(True))
+    talked = lookup(rows.select("conv_id", "turn", "own"), talks, "conv_id").where("talks")
     origins = _units(talked, "own").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    linked = quotes.join(origins, ["conv_id", "hash"]).where("origin < turn").distinct()
+    linked = lookup(quotes, origins.select(F.struct("conv_id", "hash").alias("key"), "origin"), "key").where("origin < turn").drop("key").distinct()
     votes = linked.groupBy("conv_id", "turn", (F.col("chars") >= least).alias("long"), "level", "origin").agg(F.sum("chars").alias("chars"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("long", -F.col("level"), "chars", "origin")).alias("b"))
     return best.select("conv_id", "turn", F.col("b.origin").alias("reply_to"))
@@ -105,8 +109,8 @@ def _threads(parents: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(parents.withColumn("root", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long")), "threads0")
     k = 0
     while True:
-        ahead = now.select(F.col("conv_id"), F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        step = now.join(ahead, ["conv_id", "root"], "left")
+        ahead = now.select(F.struct("conv_id", F.col("turn").alias("root")).alias("key"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        step = lookup(now.withColumn("key", F.struct("conv_id", "root")), ahead, "key")
         if step.where("next is not null").limit(1).isEmpty():
             return now
         k += 1
@@ -117,7 +121,7 @@ def format_chats(messages: DataFrame, least: int = 12) -> DataFrame:
     """(conv_id, root, depth, turn, role, reply_to, n_quotes, content, message): one row for each message, in reply order."""
     scratch = Scratch(messages.sparkSession, "chat")
     rows = scratch.save(parsed(messages), "parsed")
-    threads = _threads(replies(rows, least), scratch)
+    threads = _threads(replies(rows, scratch, least), scratch)
     out = rows.select("conv_id", "turn", "role", "n_quotes", "content").join(threads, ["conv_id", "turn"], "left")
     message = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("content"), F.lit("\n<|end|>"))
     out = out.select("conv_id", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "turn", "role", "reply_to", "n_quotes", "content", message.alias("message"))

@@ -48,3 +48,26 @@ def test_texts_are_masked_and_packed(stages):
 
 def test_run_equals_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages[5].count()
+
+
+def test_awkward_tables_pass_through_all_stages(spark, tmp_path):
+    """Nulls, blanks, repeated rows, a long text, and columns whose names the operators use inside."""
+    words = [f"{a}{b}" for a in ("so", "me", "plain", "or", "dinary") for b in ("ly", "ing", "ed", "er", "s")]
+    text = lambda k, n: " ".join(words[(k * 7 + i * i) % 25] for i in range(n)) + "."
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, text(3, 80)), (4, text(3, 80)), (4, text(3, 80)), (5, text(5, 20000)), (6, "mail a.b@example.com today " + text(6, 40)), *[(k, text(k, 60)) for k in range(10, 40)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, bucket int, score double, base string"
+    full = [(d, t, None, "s", None, "x", 1, 0.5, None) for d, t in rows]
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), 0) for k in range(10, 40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, text(12, 30))], "item_id long, text string")
+    for name, data in (("full", full), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(data, schema).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, str(folder)).toPandas()
+        if name == "none":
+            assert len(pieces) == 0
+        else:
+            assert set(pieces["doc_id"]) <= {d for d, _ in rows} and 12 not in set(pieces["doc_id"])
+            by = pieces.sort_values(["sequence_id", "offset"])
+            assert by.groupby("sequence_id")["length"].sum().iloc[:-1].eq(2048).all()
