@@ -7,6 +7,11 @@ Each stage takes (spark, docs, sf_dir), where docs has the columns of ``document
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. PII: spans of personal data are replaced by their kind;
 5. packing: the texts are packed into sequences of 2048 tokens.
+
+Defined results, as chained: a null text counts as empty in every stage and keeps its row unless the classifier rejects it; texts
+without words are copies of nothing; repeated rows and rows of one doc_id are scored and searched each by itself, and of linked
+rows those of the group's least doc_id stay; an empty ``documents`` gives no rows; other columns, whatever their names, go along
+to the last stage, which returns its own.
 """
 
 from __future__ import annotations
