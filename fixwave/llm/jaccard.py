@@ -42,7 +42,6 @@ TILE = 8192  # rows of blocks that are searched together, about
 PAIRS = 8192  # pairs of boxes compared at once
 MAX_COMMON = 200_000  # elements put last in the order, at most; it is a fixed 1.6 MB
 SLICE = 1 << 20
-BROADCAST_ROWS = 50_000  # rows of two or three numbers, 1.2 MB at most, that may be broadcast; beyond, tables are met by a shuffle
 
 
 def set_id(s: np.ndarray) -> int:
@@ -317,8 +316,8 @@ def links(docs: DataFrame, percent: int = 80, size: int = 5, trace: dict | None
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each), else to be met by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+    """The frame, to be met by a shuffle, whatever its size: plans are the same for inputs of every size."""
+    return df.hint("merge")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, size: int, of) -> DataFrame:
