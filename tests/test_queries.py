@@ -51,3 +51,13 @@ def test_range_joins_are_equi_joins(spark, sf, capsys):
     for name in ("j_range_pairs", "j_window_interval", "j_near_pairs"):
         registry.queries()[name](spark, sf).explain("formatted")
     assert "NestedLoop" not in (plan := capsys.readouterr().out) and "CartesianProduct" not in plan
+
+
+def test_difference_of_keys_takes_all_orders(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 3, 4)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 2), (7, 4), (8, 4), (15, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.k for r in registry.queries()["u_except"](spark, str(tmp_path)).collect()) == [1, 3]
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.sql(registry.oracle_sql()["u_except"]).fetchall()) == [(1,), (3,)]
