@@ -84,11 +84,27 @@ def id_gaps(df: DataFrame, by: list[str], key: str) -> DataFrame:
 
 
 def ahead(df: DataFrame, by: list[str], at: str, seconds) -> DataFrame:
-    """For each row, how many rows of its group come within ``seconds`` after it (itself included)."""
-    bucket = F.floor(F.col(at) / F.lit(seconds))
-    rows = df.withColumn("__b", F.explode(F.array(bucket, bucket - 1)))  # a row also counts for those of the bucket before
-    frame = Window.partitionBy(*by, "__b").orderBy(at).rangeBetween(0, seconds)
-    return rows.withColumn("n_ahead", F.count("*").over(frame)).where(F.col("__b") == bucket).drop("__b")
+    """For each row, how many rows of its group come within ``seconds`` after it (itself included); of a null time, its like.
+
+    Rows are counted by time first. In a bucket of that width, what lies ahead of a time is the bucket without the times before
+    it, and the next bucket up to the same offset: two running sums, not a frame that is read again for every row.
+    """
+    width = F.lit(seconds)
+    times = df.groupBy(*by, F.col(at).alias("__t")).agg(F.count("*").alias("__n"))
+    bucket = F.floor(F.col("__t") / width)
+    # A time lies in its bucket as one that waits for its count, and ends the counts of times of the bucket before.
+    both = times.withColumn("__at", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket - 1).alias("b"), F.lit(False).alias("own")))))
+    both = both.select(*by, "__t", "__n", F.col("__at.b").alias("__b"), F.col("__at.own").alias("__own"))
+    own, after = F.when(F.col("__own"), F.col("__n")).otherwise(0), F.when(F.col("__own"), 0).otherwise(F.col("__n"))
+    place = F.when(F.col("__own"), F.col("__t") + width).otherwise(F.col("__t"))  # where the frame of a time ends
+    group = Window.partitionBy(*by, "__b")
+    upto = group.orderBy("__place").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__place", place).withColumn("n_ahead", F.sum(own).over(group) - F.sum(own).over(upto) + F.col("__n") + F.sum(after).over(upto))
+    found = both.where("__own").select(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)], F.col("__t").alias("__of"), F.when(F.col("__t").isNull(), F.col("__n")).otherwise(F.col("n_ahead")).alias("n_ahead"))
+    cond = F.col(at).eqNullSafe(F.col("__of"))
+    for k, c in enumerate(by):
+        cond = F.col(c).eqNullSafe(F.col(f"__by{k}")) & cond
+    return df.join(found, cond).drop("__of", *[f"__by{k}" for k in range(len(by))])
 
 
 def shifted(start: float, end: float, by: int) -> tuple[float, float]:

@@ -56,6 +56,19 @@ def test_sessions_break_at_twice_the_margin(spark):
     assert sorted((r["first"], r["last"], r["n"]) for r in windows.sessions(df, ["k"], "t", 60).collect()) == [(-60, 179, 2), (179, 299, 1), (300, 420, 1)]
 
 
+def test_counts_ahead_read_no_frame_again(spark, capsys):
+    rng = np.random.default_rng(4)
+    data = [(k, None if k % 5 == 0 else "ab"[k % 2], None if k % 11 == 0 else float(t) / 4) for k, t in enumerate(rng.integers(-90, 200, 400))]
+    got = windows.ahead(spark.createDataFrame(data, "id long, g string, t double").repartition(5), ["g"], "t", 7)
+    for r in got.collect():
+        like = [t for _, g, t in data if g == r.g]
+        assert r.n_ahead == (sum(t is None for t in like) if r.t is None else sum(t is not None and r.t <= t <= r.t + 7 for t in like))
+    assert got.columns == ["id", "g", "t", "n_ahead"] and got.count() == 400
+    got.explain()
+    frames = capsys.readouterr().out.split("specifiedwindowframe(")[1:]
+    assert frames and all("unboundedpreceding$()" in f.split(")")[0] + ")" for f in frames)
+
+
 def test_row_windows_cover_and_overlap(spark):
     df = spark.createDataFrame([("a", t, t) for t in range(1234)], "k string, t long, id long")
     w = windows.row_windows(df, ["k"], "t", 500, 100, "id").groupBy("window_id").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).orderBy("window_id").collect()
