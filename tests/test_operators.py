@@ -162,6 +162,40 @@ def test_edges_within_a_time_meet_in_its_buckets(spark, capsys):
     assert "[deployment#" in (join := capsys.readouterr().out.split("Join", 1)[1].split("\n")[0]) and join.count("__b#") == 2
 
 
+@pytest.mark.parametrize("pairs", [joins.TASK_PAIRS, 60])
+def test_pairs_are_dealt_over_tasks_by_their_number(spark, monkeypatch, capsys, pairs):
+    monkeypatch.setattr(joins, "TASK_PAIRS", pairs)
+    one = spark.createDataFrame([(k, "b" if k < 3 else "a" if k < 40 else None) for k in range(45)], "x long, g string")
+    two = spark.createDataFrame([(k, "b" if k < 2 else "a" if k < 22 else None) for k in range(25)], "y long, g string")
+    got = joins.meeting(one, two, ["g"])
+    assert got.columns == ["g", "x", "y"] and rows(got) == rows(one.join(two, "g")) and got.count() == 3 * 2 + 37 * 20
+    joins.meeting(one, two, ["g"]).explain()
+    plan = capsys.readouterr().out
+    assert pairs > 60 or (plan.count(", 13), REPARTITION_BY_NUM") == 2 and "SortMergeJoin [g#" in plan)  # 746 pairs
+
+
+def test_roots_are_found_without_edges(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 400)
+    rng = np.random.default_rng(8)
+    data = [(int(d), k, float(t), None if k % 40 == 0 else float(x), float(y), 1.0, "linear", 1.0, 0.5, 0.1) for k, (d, t, x, y) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(-2000, 2000, 300), rng.exponential(400, 300), rng.uniform(0, 40, 300)))]
+    points = spark.createDataFrame(data, "deployment int, id long, t double, easting double, northing double, likelihood double, family string, burst double, sustained double, speed_limit double").repartition(3)
+    edges = track.feasible_edges(points, ["deployment"]).where("t_b - t_a < 370")
+    want = rows(track.roots(points, edges, ["deployment"]))
+    assert rows(track.unreached(points, ["deployment"], 370.0)) == want and 10 < len(want) < 290
+    assert track.unreached(points.limit(0), ["deployment"], 370.0).count() == 0
+
+
+def test_queries_of_pairs_are_the_same_when_dealt(spark, sf, monkeypatch):
+    from fixwave import registry
+
+    for name in ("d_feasible_edges", "j_range_pairs", "j_near_pairs", "a_density"):
+        plain = rows(registry.queries()[name](spark, sf))
+        with monkeypatch.context() as m:
+            m.setattr(joins, "TASK_PAIRS", 40)
+            dealt = registry.queries()[name](spark, sf)
+            assert rows(dealt) == plain and (name == "a_density" or dealt.rdd.getNumPartitions() > 4)
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
