@@ -118,7 +118,7 @@ def d_roots(spark, sf):
     """Points of the feasible transitions that no point leads to: where tracks can begin."""
     e, _ = _fixes(spark, sf)
     rows = e.withColumns({"family": F.lit("linear"), "burst": F.lit(0.01), "sustained": F.lit(0.004), "speed_limit": F.lit(0.001)})
-    return track.roots(rows, track.feasible_edges(rows, ["deployment"], 90_000), ["deployment"]).select("deployment", "id")
+    return track.unreached(rows, ["deployment"], 90_000).select("deployment", "id")
 
 
 @query()
