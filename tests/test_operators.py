@@ -196,6 +196,22 @@ def test_queries_of_pairs_are_the_same_when_dealt(spark, sf, monkeypatch):
             assert rows(dealt) == plain and (name == "a_density" or dealt.rdd.getNumPartitions() > 4)
 
 
+def _dense(spark):
+    rng = np.random.default_rng(3)
+    data = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 30, (200, 2)))]
+    return data, spark.createDataFrame(data, "k long, x double, y double")
+
+
+def test_near_pairs_of_crowded_cells_meet_in_blocks(spark, monkeypatch, capsys):
+    data, df = _dense(spark)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 400)
+    got = joins.near_pairs(df, "k", "x", "y", 5.0)
+    assert {(r.k_1, r.k_2) for r in got.collect()} == (want := {(a, b) for a, x, y in data for b, u, v in data if a != b and np.hypot(x - u, y - v) <= 5})
+    assert got.count() == len(want)
+    joins.near_pairs(df, "k", "x", "y", 5.0).explain()
+    assert "__i#" in (plan := capsys.readouterr().out) and "REPARTITION_BY_NUM" in plan
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
