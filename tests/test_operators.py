@@ -212,6 +212,15 @@ def test_near_pairs_of_crowded_cells_meet_in_blocks(spark, monkeypatch, capsys):
     assert "__i#" in (plan := capsys.readouterr().out) and "REPARTITION_BY_NUM" in plan
 
 
+def test_density_of_crowded_cells_is_counted_in_blocks(spark, monkeypatch, capsys):
+    data, df = _dense(spark)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 400)
+    got = aggregates.density(df, "k", "x", "y", 5.0)
+    assert {r.k: r.density for r in got.collect()} == {a: 5 + 2 * sum(a != b and np.hypot(x - u, y - v) <= 5 for b, u, v in data) for a, x, y in data}
+    aggregates.density(df, "k", "x", "y", 5.0).explain()
+    assert "__i#" in (plan := capsys.readouterr().out) and "REPARTITION_BY_NUM" in plan
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
