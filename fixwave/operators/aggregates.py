@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixwave.operators.joins import near_pairs, small
+from fixwave.operators.joins import copies, near, near_pairs, small
 from fixwave.session import shared
 
 
@@ -139,9 +139,17 @@ def gram_matrix(re: list[Column], im: list[Column]) -> list[Column]:
 
 
 def density(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """5 + 2 for every other point within the radius."""
-    n = near_pairs(df, key, x, y, radius).groupBy(F.col("k_1").alias(key)).count()
-    return df.join(n, key, "left").withColumn("density", 5 + 2 * F.coalesce("count", F.lit(0))).drop("count")
+    """5 + 2 for every other point within the radius.
+
+    Where points of one place are usual, places are met and their points only counted, as no key is there twice.
+    """
+    found = copies(df, [x, y])
+    if found is None or not df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        n, on = near_pairs(df, key, x, y, radius).groupBy(F.col("k_1").alias(key)).count(), [key]
+    else:
+        n = near(found[0], "__n", x, y, radius).groupBy(F.col("x_1").alias(x), F.col("y_1").alias(y)).agg((F.sum("__n_2") - 1).alias("count"))
+        n, on = small(n), [x, y]
+    return df.join(n, on, "left").select(*df.columns, "count").withColumn("density", 5 + 2 * F.coalesce("count", F.lit(0))).drop("count")
 
 
 def mean_resample(df: DataFrame, by: list[str], at: str, values: list[str], bins: int = 100, longest: float = 3600.0) -> DataFrame:

@@ -76,6 +76,13 @@ def _blocks(rows: DataFrame, hot: DataFrame, on: list[str], own: str, parts: str
     return rows.select(*columns, F.pmod(F.xxhash64(*columns), F.coalesce(parts, F.lit(1).cast("long"))).alias(own), F.explode(copies).alias(other))
 
 
+def copies(df: DataFrame, at: list[str]) -> tuple[DataFrame, int] | None:
+    """The number ``__n`` of rows of each ``at``, and the most of them; None unless two rows of a kind are usual."""
+    n = df.na.drop(subset=at).groupBy(*at).agg(F.count("*").alias("__n"))  # a null meets nothing
+    kinds, total, most = n.agg(F.count("*"), F.sum("__n"), F.max("__n")).first()
+    return (n, most) if kinds and total >= 2 * kinds else None
+
+
 def range_pairs(df: DataFrame, by: list[str], at: str, least, most, keep: list[str]) -> DataFrame:
     """Pairs of rows of one group with least < later - earlier < most, as an equi-join on time buckets of an eighth of ``most``.
 
@@ -114,13 +121,19 @@ def near_pairs(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFr
 
     There may be many more pairs than points; see ``meeting``.
     """
+    pairs = near(df, key, x, y, radius).where(F.col(f"{key}_1") != F.col(f"{key}_2"))
+    return pairs.select(F.col(f"{key}_1").alias("k_1"), "x_1", "y_1", F.col(f"{key}_2").alias("k_2"), "x_2", "y_2")
+
+
+def near(df: DataFrame, keep: str, x: str, y: str, radius: float) -> DataFrame:
+    """(keep_1, x_1, y_1, keep_2, x_2, y_2) of all pairs within ``radius``, each row with itself too."""
     side = radius * SLACK
     cx, cy = F.floor(F.col(x) / side), F.floor(F.col(y) / side)
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    one = df.select(F.col(key).alias("k_1"), F.col(x).alias("x_1"), F.col(y).alias("y_1"), F.explode(around).alias("c")).select("k_1", "x_1", "y_1", "c.cx", "c.cy")
-    two = df.select(F.col(key).alias("k_2"), F.col(x).alias("x_2"), F.col(y).alias("y_2"), cx.alias("cx"), cy.alias("cy"))
+    one = df.select(F.col(keep).alias(f"{keep}_1"), F.col(x).alias("x_1"), F.col(y).alias("y_1"), F.explode(around).alias("c")).select(f"{keep}_1", "x_1", "y_1", "c.cx", "c.cy")
+    two = df.select(F.col(keep).alias(f"{keep}_2"), F.col(x).alias("x_2"), F.col(y).alias("y_2"), cx.alias("cx"), cy.alias("cy"))
     gap = F.hypot(F.col("x_1") - F.col("x_2"), F.col("y_1") - F.col("y_2"))
-    return meeting(one, two, ["cx", "cy"]).where((F.col("k_1") != F.col("k_2")) & (gap <= radius)).drop("cx", "cy")
+    return meeting(one, two, ["cx", "cy"]).where(gap <= radius).drop("cx", "cy")
 
 
 def banded(df: DataFrame, value: str, bands: DataFrame, limit: str, label: str) -> DataFrame:

@@ -221,6 +221,31 @@ def test_density_of_crowded_cells_is_counted_in_blocks(spark, monkeypatch, capsy
     assert "__i#" in (plan := capsys.readouterr().out) and "REPARTITION_BY_NUM" in plan
 
 
+def _copies(spark):
+    rng = np.random.default_rng(4)
+    places = [(float(p // 30), float(p % 30)) for p in rng.permutation(900)[:30]]
+    data = [(k, *places[k % 30]) for k in range(600)] + [(600, None, 1.0), (601, None, 1.0), (602, float("nan"), 2.0), (603, 5.5, 5.5)]
+    return data, spark.createDataFrame(data, "k long, x double, y double").repartition(3)
+
+
+def _met(monkeypatch):
+    seen = []
+    plain = joins.meeting
+    monkeypatch.setattr(joins, "meeting", lambda one, two, *rest: seen.append(two) or plain(one, two, *rest))
+    return seen
+
+
+def test_density_meets_places_not_their_copies(spark, monkeypatch):
+    data, df = _copies(spark)
+    seen = _met(monkeypatch)
+    want = {a: 5 + 2 * sum(x is not None and u is not None and a != b and np.hypot(x - u, y - v) <= 5 for b, u, v in data) for a, x, y in data}
+    got = [tuple(r) for r in aggregates.density(df, "k", "x", "y", 5.0).select("k", "density").collect()]
+    assert sorted(got) == sorted(want.items()) and seen[-1].count() == 31  # not 601
+    twice = df.where("k < 600").withColumn("k", F.expr("k div 2"))  # keys found twice: the plain count
+    count = aggregates.density(twice, "k", "x", "y", 5.0).select("k", "density").distinct()
+    assert {r.k: r.density for r in count.collect()} == {k: 5 + 2 * sum(np.hypot(x - u, y - v) <= 5 for a, x, y in data[:600] for b, u, v in data[:600] if a // 2 == k and b // 2 != k) for k in range(300)}
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
