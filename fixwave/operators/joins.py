@@ -13,6 +13,8 @@ from fixwave.operators import pieces
 SMALL_ROWS = 100_000
 #: About how many pairs of rows one task of ``meeting`` looks at.
 TASK_PAIRS = 20_000_000
+#: About how many points of one place are gathered into one before pairs are looked for.
+GATHERED = 1_000
 #: A span of time is joined in so many buckets, so that pairs looked at are few more than pairs within it.
 STEPS = 8
 #: Buckets are wider than needed by this, which is far beyond what division rounds.
@@ -47,13 +49,13 @@ def asof_linear(left: DataFrame, right: DataFrame, by: list[str], at: str, value
     return both.select("__row.*", *[(F.col(f"__a.{v}") + share * (F.col(f"__b.{v}") - F.col(f"__a.{v}"))).alias(v) for v in values])
 
 
-def meeting(one: DataFrame, two: DataFrame, on: list[str]) -> DataFrame:
+def meeting(one: DataFrame, two: DataFrame, on: list[str], sizes: tuple[str, str] = ("1", "1")) -> DataFrame:
     """The inner join of ``one`` and ``two`` where pairs far outnumber rows: it is dealt over tasks by pairs, not by bytes.
 
-    Rows of each key are counted first. There are as many tasks as the pairs need, which bytes of rows would not tell, and a key of
+    Rows of each key are counted first; ``sizes`` says for how many rows a row of each side stands. There are as many tasks as the pairs need, which bytes of rows would not tell, and a key of
     very many pairs is cut into blocks of both sides' rows, each pair of which meets once. No side is broadcast, nothing left out.
     """
-    n = one.groupBy(*on).agg(F.count("*").alias("__n1")).join(two.groupBy(*on).agg(F.count("*").alias("__n2")), on)
+    n = one.groupBy(*on).agg(F.sum(F.expr(sizes[0])).alias("__n1")).join(two.groupBy(*on).agg(F.sum(F.expr(sizes[1])).alias("__n2")), on)
     n = n.withColumn("__pairs", F.col("__n1").cast("double") * F.col("__n2"))
     total, most = n.agg(F.coalesce(F.sum("__pairs"), F.lit(0.0)), F.coalesce(F.max("__pairs"), F.lit(0.0))).first()
     if total <= TASK_PAIRS // 8:
@@ -83,6 +85,27 @@ def copies(df: DataFrame, at: list[str]) -> tuple[DataFrame, int] | None:
     return (n, most) if kinds and total >= 2 * kinds else None
 
 
+def gathered(df: DataFrame, at: list[str], keep: list[str]) -> DataFrame | None:
+    """Rows of equal ``at`` as one, with the array ``__rows`` of their ``keep``; None unless two rows of a kind are usual.
+
+    Of more than ``GATHERED`` rows there are several arrays of about so many, dealt by what the rows keep.
+    """
+    if (found := copies(df, at)) is None:
+        return None
+    rows = df.na.drop(subset=at).select(*at, F.struct(*keep).alias("__r"))
+    if found[1] > GATHERED:
+        parts = found[0].where(F.col("__n") > GATHERED).select(*at, F.ceil(F.col("__n") / GATHERED).alias("__n"))
+        rows = rows.join(small(parts), at, "left").withColumn("__n", F.pmod(F.xxhash64("__r"), F.coalesce("__n", F.lit(1).cast("long"))))
+    else:
+        rows = rows.withColumn("__n", F.lit(0))
+    return rows.groupBy(*at, "__n").agg(F.sort_array(F.collect_list("__r")).alias("__rows")).drop("__n")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """All pairs of the rows ``__rows_1`` with the rows ``__rows_2``, made one by one where the arrays met."""
+    return pairs.withColumn("__rows_1", F.explode("__rows_1")).withColumn("__rows_2", F.explode("__rows_2"))
+
+
 def range_pairs(df: DataFrame, by: list[str], at: str, least, most, keep: list[str]) -> DataFrame:
     """Pairs of rows of one group with least < later - earlier < most, as an equi-join on time buckets of an eighth of ``most``.
 
@@ -119,21 +142,29 @@ def interval_join(df: DataFrame, by: list[str], at: str, step: int, width: int)
 def near_pairs(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """Pairs of different points within ``radius``: an equi-join on grid cells, one side also in the eight cells around.
 
-    There may be many more pairs than points; see ``meeting``.
+    There may be many more pairs than points; see ``meeting``. Points of one place are met as one where that is usual
+    (``gathered``); their pairs are made after it.
     """
-    pairs = near(df, key, x, y, radius).where(F.col(f"{key}_1") != F.col(f"{key}_2"))
-    return pairs.select(F.col(f"{key}_1").alias("k_1"), "x_1", "y_1", F.col(f"{key}_2").alias("k_2"), "x_2", "y_2")
+    own = gathered(df, [x, y], [key])
+    if own is None:
+        return near(df, key, x, y, radius).where(F.col(f"{key}_1") != F.col(f"{key}_2")).select(F.col(f"{key}_1").alias("k_1"), "x_1", "y_1", F.col(f"{key}_2").alias("k_2"), "x_2", "y_2")
+    pairs = _spread(near(own, "__rows", x, y, radius, "size({})"))
+    pairs = pairs.select(F.col("__rows_1")[key].alias("k_1"), "x_1", "y_1", F.col("__rows_2")[key].alias("k_2"), "x_2", "y_2")
+    return pairs.where(F.col("k_1") != F.col("k_2"))
 
 
-def near(df: DataFrame, keep: str, x: str, y: str, radius: float) -> DataFrame:
-    """(keep_1, x_1, y_1, keep_2, x_2, y_2) of all pairs within ``radius``, each row with itself too."""
+def near(df: DataFrame, keep: str, x: str, y: str, radius: float, size: str = "1") -> DataFrame:
+    """(keep_1, x_1, y_1, keep_2, x_2, y_2) of all pairs within ``radius``, each row with itself too.
+
+    ``size`` says for how many points a row stands, as SQL with a place for the name of the kept column.
+    """
     side = radius * SLACK
     cx, cy = F.floor(F.col(x) / side), F.floor(F.col(y) / side)
     around = F.array(*[F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     one = df.select(F.col(keep).alias(f"{keep}_1"), F.col(x).alias("x_1"), F.col(y).alias("y_1"), F.explode(around).alias("c")).select(f"{keep}_1", "x_1", "y_1", "c.cx", "c.cy")
     two = df.select(F.col(keep).alias(f"{keep}_2"), F.col(x).alias("x_2"), F.col(y).alias("y_2"), cx.alias("cx"), cy.alias("cy"))
     gap = F.hypot(F.col("x_1") - F.col("x_2"), F.col("y_1") - F.col("y_2"))
-    return meeting(one, two, ["cx", "cy"]).where(gap <= radius).drop("cx", "cy")
+    return meeting(one, two, ["cx", "cy"], (size.format(f"{keep}_1"), size.format(f"{keep}_2"))).where(gap <= radius).drop("cx", "cy")
 
 
 def banded(df: DataFrame, value: str, bands: DataFrame, limit: str, label: str) -> DataFrame:

@@ -246,6 +246,20 @@ def test_density_meets_places_not_their_copies(spark, monkeypatch):
     assert {r.k: r.density for r in count.collect()} == {k: 5 + 2 * sum(np.hypot(x - u, y - v) <= 5 for a, x, y in data[:600] for b, u, v in data[:600] if a // 2 == k and b // 2 != k) for k in range(300)}
 
 
+def test_near_pairs_meet_places_in_arrays_of_bounded_size(spark, monkeypatch):
+    data, df = _copies(spark)
+    monkeypatch.setattr(joins, "GATHERED", 7)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 4000)
+    seen = _met(monkeypatch)
+    got = joins.near_pairs(df, "k", "x", "y", 5.0)
+    want = [(a, b) for a, x, y in data for b, u, v in data if x is not None and u is not None and a != b and np.hypot(x - u, y - v) <= 5]
+    assert sorted((r.k_1, r.k_2) for r in got.collect()) == sorted(want) and got.columns == ["k_1", "x_1", "y_1", "k_2", "x_2", "y_2"]
+    at = {d[0]: d[1:] for d in data}
+    assert all((r.x_1, r.y_1) == at[r.k_1] and (r.x_2, r.y_2) == at[r.k_2] for r in got.collect())
+    sizes = [len(r[0]) for r in seen[-1].select("__rows_2").collect()]
+    assert sum(sizes) == 601 and 60 < len(sizes) < 300 and max(sizes) <= 20
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
