@@ -5,7 +5,7 @@ which no result hangs on), and are then fixed: the range of a row is a function
 branches of a plan, it is computed. Rows of equal keys share a range; so a group is split as finely as its keys differ.
 
 There are as many ranges as shuffle partitions, which are set by the size of the input; no number is the most. The bounds are one
-constant of the plan, and a key's range is found in it in two steps, of about the root of their number each.
+constant of the plan, and a key's range is found in it by halving: a comparison in generated code for each power of two.
 """
 
 from __future__ import annotations
@@ -31,13 +31,11 @@ def split(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFra
         return df.withColumn(PIECE, F.lit(0))
     kinds = {c: df.schema[c].dataType for c in order}
     bound = lambda k: F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(k, kinds.items())])
-    step = max(1, int(len(bounds) ** 0.5))
-    key = F.struct(*order)
-    below = lambda part: F.size(F.filter(part, lambda b: b < key))  # noqa: E731  arrays of constants, folded to one each
-    coarse = below(F.array(*[bound(k) for k in bounds[step - 1 :: step]])) * step
-    rows = df.withColumn("__coarse", coarse)
-    fine = below(F.slice(F.array(*map(bound, bounds)), F.col("__coarse") + 1, F.lit(step)))
-    return rows.withColumn(PIECE, F.col("__coarse") + fine).drop("__coarse")
+    key, table = F.struct(*order), F.array(*map(bound, bounds))  # an array of constants, folded to one
+    rows = df.withColumn(PIECE, F.lit(0))
+    for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):  # past the last bound is null, which is not below
+        rows = rows.withColumn(PIECE, F.col(PIECE) + F.when(F.get(table, F.col(PIECE) + F.lit(step - 1)) < key, step).otherwise(0))
+    return rows
 
 
 def _carried(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixwave.config import Detector, Positioning, Scoring, Tracking
 from fixwave.functions import geo
-from fixwave.operators import aggregates, direction, features, filters, joins, position, scoring, track, windows
+from fixwave.operators import aggregates, direction, features, filters, joins, pieces, position, scoring, track, windows
 from fixwave.plans import domain
 from fixwave.plans.domain import simulated
 from fixwave.sources import det, sinks, tables
@@ -260,6 +260,19 @@ def test_near_pairs_meet_places_in_arrays_of_bounded_size(spark, monkeypatch):
     assert sum(sizes) == 601 and 60 < len(sizes) < 300 and max(sizes) <= 20
 
 
+@pytest.mark.parametrize("ranges", [2, 5, 16, 37])
+def test_ranges_are_found_by_halving(spark, capsys, ranges):
+    rng = np.random.default_rng(ranges)
+    keys = [(None if k % 50 == 0 else int(rng.integers(0, 4)), [float("nan"), -0.0, 0.0, float(rng.integers(-9, 40))][min(k % 25, 3)], k % 3) for k in range(400)]
+    cut = pieces.split(spark.createDataFrame(keys, "a int, b double, c int").repartition(3), ["a", "b", "c"], ranges)
+    of = [(r.a, r.b, r.c, r["__piece"]) for r in cut.orderBy("a", "b", "c").collect()]
+    numbers = [r[3] for r in of]
+    assert len(of) == 400 and numbers == sorted(numbers) and numbers[0] == 0 and ranges * 0.6 < len(set(numbers)) <= ranges
+    assert len({(str(a), str((b or 0) + 0.0), c, n) for a, b, c, n in of}) == len({(str(a), str((b or 0) + 0.0), c) for a, b, c, _ in of})
+    cut.explain()
+    assert "lambda" not in (plan := capsys.readouterr().out) and 1 <= plan.count("CASE WHEN") <= ranges.bit_length()
+
+
 def test_track_query_takes_the_usual_windows(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(track, "tracks", lambda points, targets, cfg=Tracking(): seen.append(cfg))
