@@ -196,6 +196,43 @@ def test_queries_of_pairs_are_the_same_when_dealt(spark, sf, monkeypatch):
             assert rows(dealt) == plain and (name == "a_density" or dealt.rdd.getNumPartitions() > 4)
 
 
+def _bursts(spark):
+    rng = np.random.default_rng(5)
+    times = [int(t) for t in [*rng.integers(-4000, 4000, 120), *np.repeat(rng.integers(0, 90, 10), 12), *rng.integers(1000, 1060, 60)]]
+    data = [(k, "ab"[k % 2], t) for k, t in enumerate(times)] + [(900, None, 5), (901, "a", None), (902, "c", 7)]
+    df = spark.createDataFrame(data, "k long, g string, at long").repartition(3)
+    want = sorted((g, a, s, b, t) for a, g, s in data for b, h, t in data if g and g == h and s is not None and t is not None and 70 < t - s < 400)
+    return df, want
+
+
+@pytest.mark.parametrize("pairs, most", [(40, 5), (40, 1000), (2000, 7), (20_000, 30), (10**9, 1000)])
+def test_range_pairs_meet_once_however_they_are_dealt(spark, monkeypatch, pairs, most):
+    monkeypatch.setattr(joins, "TASK_PAIRS", pairs)
+    monkeypatch.setattr(joins, "GATHERED", most)
+    df, want = _bursts(spark)
+    got = joins.range_pairs(df, ["g"], "at", 70, 400, ["k"])
+    assert got.columns == ["g", "k_1", "t_1", "k_2", "t_2"]
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 1000
+    bare = joins.range_pairs(df, ["g"], "at", 70, 400, [])
+    assert sorted(tuple(r) for r in bare.collect()) == sorted((g, s, t) for g, _, s, _, t in want)
+
+
+def test_range_pairs_shuffle_rows_once_not_for_each_bucket(spark, monkeypatch, capsys):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 40_000)
+    df = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("at"), F.expr("id < 0").alias("g"))
+    seen = []
+    plain = joins._stretches
+    monkeypatch.setattr(joins, "_stretches", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = joins.range_pairs(df, ["g"], "at", 70, 400, ["k"])
+    got.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1  # a join shuffles both sides
+    assert seen[0][0].count() <= 2 * 4000  # a join on buckets has 9 copies of a row
+    rows = got.collect()
+    assert len(rows) == sum(4000 - d for d in range(8, 40))
+    places = [(r.t_1, r.t_2) for r in rows]
+    assert sum(a[0] != b[0] for a, b in zip(places, places[1:])) < 4000 * 9  # an earlier row's pairs are together
+
+
 def _dense(spark):
     rng = np.random.default_rng(3)
     data = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 30, (200, 2)))]
