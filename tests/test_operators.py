@@ -233,6 +233,32 @@ def test_range_pairs_shuffle_rows_once_not_for_each_bucket(spark, monkeypatch, c
     assert sum(a[0] != b[0] for a, b in zip(places, places[1:])) < 4000 * 9  # an earlier row's pairs are together
 
 
+def test_feasible_edges_shuffle_points_once_not_for_each_bucket(spark, monkeypatch, capsys):
+    monkeypatch.setattr(joins, "TASK_PAIRS", 40_000)
+    rng = np.random.default_rng(11)
+    data = [(k % 2, k, k * 10.0, None if k % 50 == 0 else float(x), float(y), 1.0, "linear", 1.0, 0.5, 0.1) for k, (x, y) in enumerate(zip(rng.exponential(100, 1500), rng.uniform(0, 40, 1500)))]
+    points = spark.createDataFrame(data, "deployment int, id long, t double, easting double, northing double, likelihood double, family string, burst double, sustained double, speed_limit double").repartition(3)
+    seen = []
+    plain = joins._stretches
+    monkeypatch.setattr(joins, "_stretches", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = track.feasible_edges(points, ["deployment"], 370.0)
+    got.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1  # a join shuffles both sides
+    assert seen[0][0].count() <= 2 * 1500  # a join on buckets has 10 copies of a point
+    want = track.feasible_edges(points, ["deployment"]).where("t_b - t_a < 370")
+    assert got.columns == want.columns and rows(got) == rows(want) and want.count() > 1000
+
+
+def test_range_pairs_keep_columns_of_one_side(spark, monkeypatch):
+    df, want = _bursts(spark)
+    df = df.withColumn("x", F.col("k") * 2).withColumn("y", F.col("k") * 3)
+    for pairs in (40, 10**9):
+        monkeypatch.setattr(joins, "TASK_PAIRS", pairs)
+        got = joins.range_pairs(df, ["g"], "at", 70, 400, ["k"], ["x"], ["y", "x"])
+        assert got.columns == ["g", "k_1", "x_1", "t_1", "k_2", "y_2", "x_2", "t_2"]
+        assert sorted(tuple(r) for r in got.collect()) == [(g, a, 2 * a, s, b, 3 * b, 2 * b, t) for g, a, s, b, t in want]
+
+
 def _dense(spark):
     rng = np.random.default_rng(3)
     data = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 30, (200, 2)))]
